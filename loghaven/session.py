@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "LOGHAVEN_SHIPPED"
+_LOCAL_SHARED: dict[str, str] = {}
 
 
 def build_session(app: str = "loghaven", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -53,16 +54,16 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    It is read from the session; only where it is unset (tests, local mode) a
-    local folder is made and set.
+    It is read from the session; only where it is unset in
+    local mode (as in tests) a folder of this machine is made.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_SHARED.get(spark.sparkContext.applicationId)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by driver and executors")
         base = tempfile.mkdtemp(prefix="loghaven-shared-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
+        _LOCAL_SHARED[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
