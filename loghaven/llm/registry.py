@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loghaven.llm.multiset_hash import op10_multiset_fingerprints
+from loghaven.llm.packing import op7_packing
 from loghaven.llm.token_count import op8_token_counts
+from loghaven.llm.url_rules import OP5_SQL, op5_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to function of (spark, folder of tables)."""
-    return {f.__name__: f for f in (op8_token_counts,)}
+    return {f.__name__: f for f in (op5_url_filters, op7_packing, op8_token_counts, op10_multiset_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op5_url_filters": OP5_SQL}
