@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loghaven.session import materialize, scratch_path, shared_dir, ship_package
 
-__all__ = ["materialize", "scratch_path", "shared_dir", "ship_package", "table", "text_hash", "rows_of", "batch_of", "byte_batches"]
+__all__ = ["materialize", "scratch_path", "shared_dir", "ship_package", "table", "text_hash", "rows_of", "batch_of", "byte_batches", "BitmapFilter"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +56,36 @@ def byte_batches(texts: Iterable[str | None], most: int) -> Iterator[list[str |
         size += n
     if batch:
         yield batch
+
+
+class BitmapFilter:
+    """A fixed-size bitmap of hashed keys that spares rows a shuffle.
+
+    It says no only for keys that were not put in; at most ``MOST_BITS`` bits (16 MB)
+    are broadcast, whatever the number of keys. With more keys it lets more rows pass,
+    which costs a larger shuffle and changes no result.
+    """
+
+    MOST_BITS = 1 << 27
+
+    def __init__(self, keys: DataFrame, hashed: Column):
+        spark = keys.sparkSession
+        n = max(1, keys.count())
+        self.bits = min(self.MOST_BITS, 1 << max(10, (16 * n - 1).bit_length()))
+        spot = F.pmod(hashed, F.lit(self.bits))
+        words = keys.select(spot.alias("spot")).selectExpr("shiftright(spot, 6) AS word", "shiftleft(1L, CAST(spot % 64 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        bitmap = np.zeros(self.bits >> 6, np.int64)
+        for r in words.collect():
+            bitmap[r["word"]] = r["bits"]
+        self.bitmap = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def may_hold(self, hashed: Column) -> Column:
+        """Whether a key with this hash may have been put in."""
+        bits, bitmap = self.bits, self.bitmap
+
+        @F.arrow_udf("boolean")
+        def looked_up(hashes: pa.Array) -> pa.Array:
+            spots = np.mod(hashes.to_numpy(zero_copy_only=False), bits)
+            return pa.array((bitmap.value[spots >> 6] >> (spots & 63).astype(np.uint64)) & np.uint64(1) == 1, pa.bool_())
+
+        return looked_up(hashed)

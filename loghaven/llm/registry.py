@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loghaven.llm.line_dedup import op2_substring_dedup
 from loghaven.llm.multiset_hash import op10_multiset_fingerprints
 from loghaven.llm.packing import op7_packing
 from loghaven.llm.simhash_groups import op1_simhash_groups
@@ -15,7 +16,7 @@ from loghaven.llm.url_rules import OP5_SQL, op5_url_filters
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to function of (spark, folder of tables)."""
-    return {f.__name__: f for f in (op1_simhash_groups, op5_url_filters, op7_packing, op8_token_counts, op10_multiset_fingerprints)}
+    return {f.__name__: f for f in (op1_simhash_groups, op2_substring_dedup, op5_url_filters, op7_packing, op8_token_counts, op10_multiset_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
