@@ -12,13 +12,14 @@ from loghaven.llm.packing import op7_packing
 from loghaven.llm.simhash_groups import op1_simhash_groups
 from loghaven.llm.token_count import op8_token_counts
 from loghaven.llm.url_rules import OP5_SQL, op5_url_filters
+from loghaven.llm.warc import OP3_SQL, op3_warc_round_trip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to function of (spark, folder of tables)."""
-    return {f.__name__: f for f in (op1_simhash_groups, op2_substring_dedup, op5_url_filters, op7_packing, op8_token_counts, op10_multiset_fingerprints)}
+    return {f.__name__: f for f in (op1_simhash_groups, op2_substring_dedup, op3_warc_round_trip, op5_url_filters, op7_packing, op8_token_counts, op10_multiset_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op5_url_filters": OP5_SQL}
+    return {"op3_warc_round_trip": OP3_SQL, "op5_url_filters": OP5_SQL}
