@@ -23,6 +23,7 @@ def build_session(app: str = "loghaven", cpus: str | int = "*", **conf: str) ->
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
     )
