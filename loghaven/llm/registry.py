@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loghaven.llm.decontaminate import op9_benchmark_leaks
 from loghaven.llm.importance import op6_importance_resampling
 from loghaven.llm.line_dedup import op2_substring_dedup
 from loghaven.llm.multiset_hash import op10_multiset_fingerprints
@@ -19,7 +20,7 @@ from loghaven.llm.warc import OP3_SQL, op3_warc_round_trip
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to function of (spark, folder of tables)."""
-    return {f.__name__: f for f in (op1_simhash_groups, op2_substring_dedup, op3_warc_round_trip, op4_page_diff_text, op5_url_filters, op6_importance_resampling, op7_packing, op8_token_counts, op10_multiset_fingerprints)}
+    return {f.__name__: f for f in (op1_simhash_groups, op2_substring_dedup, op3_warc_round_trip, op4_page_diff_text, op5_url_filters, op6_importance_resampling, op7_packing, op8_token_counts, op9_benchmark_leaks, op10_multiset_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
