@@ -1,10 +1,70 @@
-"""Corpus pipeline: five stages over the documents table (to be filled in)."""
+"""Corpus pipeline: quality, near copies, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; it is
+written as Parquet to the shared folder and read again as the next one's input. All
+stages but the last return the columns of ``documents``.
+
+1. ``quality``: importance resampling draws the documents to keep.
+2. ``near_copies``: of each group of documents with SimHash fingerprints within
+   ``NEAR_BITS`` bits the one with the least id stays.
+3. ``passages``: repeated lines and passages go, the earliest stays; a document of which
+   nothing is left goes; ``n_chars`` follows the text.
+4. ``leaks``: documents that hold a benchmark item go.
+5. ``pack``: what is left is packed into sequences of 2048 ids.
+
+No SQL twin: tokens, sampling noise and Hamming search are beyond SQL; each stage is
+tested against a brute-force version in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loghaven.llm.common import scratch_path, table
+from loghaven.llm.decontaminate import remove_leaks
+from loghaven.llm.importance import resample
+from loghaven.llm.line_dedup import remove_repeats
+from loghaven.llm.packing import pack
+from loghaven.llm.simhash_groups import keep_one
+
+#: Bits by which near copies may differ. Edits of one word in fifty move a fingerprint
+#: by two to six bits, unrelated texts differ by about 32.
+NEAR_BITS = 4
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return resample(docs, table(spark, sf_dir, "labels")).select("row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs, distance=NEAR_BITS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeats(docs)
+    cleaned = cleaned.where((F.size("removed") == 0) | (F.trim("text") != ""))
+    named = {"text": F.col("text"), "n_chars": F.when(F.size("removed") == 0, F.col("row.n_chars")).otherwise(F.length("text").cast("long"))}
+    return cleaned.select(*[named.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("passages", passages), ("leaks", leaks), ("pack", packed)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

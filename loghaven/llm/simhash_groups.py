@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loghaven.llm.common import batch_of, materialize, rows_of, ship_package, table
+from loghaven.llm.common import BitmapFilter, batch_of, materialize, rows_of, ship_package, table
 from loghaven.llm.components import components
 
 DISTANCE = 2
@@ -196,12 +196,17 @@ def search(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, dista
             todo.append((a[~inside & (bits <= radius + distance)], b[within & (theirs > radius - distance)]))
 
 
+def _dealt(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """One frame for a batch: a frame for each shard would cost more than the tree."""
+    return pd.DataFrame(dict(zip(("shard", "home", "fp"), (np.concatenate(c) for c in zip(*parts, strict=True)), strict=True)))
+
+
 def _deal(tree: UpperTree):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            points = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            for shard, home, index in tree.deal(points):
-                yield pd.DataFrame({"shard": np.int64(shard), "home": home, "fp": batch["fp"].to_numpy()[index]})
+            fps = batch["fp"].to_numpy(np.int64)
+            if len(fps):
+                yield _dealt([(np.full(len(i), shard, np.int64), np.full(len(i), home), fps[i]) for shard, home, i in tree.deal(fps.view(np.uint64))])
 
     return run
 
@@ -209,13 +214,13 @@ def _deal(tree: UpperTree):
 def _deal_again(trees: dict[int, UpperTree], step: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts = []
             for (shard, home), rows in batch.groupby(["shard", "home"], sort=False):
                 fps = rows["fp"].to_numpy(np.int64)
-                if shard not in trees:
-                    yield pd.DataFrame({"shard": np.int64(shard) * step, "home": home, "fp": fps})
-                    continue
-                for leaf, at_home, index in trees[shard].deal(fps.view(np.uint64), bool(home)):
-                    yield pd.DataFrame({"shard": np.int64(shard) * step + leaf, "home": at_home, "fp": fps[index]})
+                dealt = trees[shard].deal(fps.view(np.uint64), bool(home)) if shard in trees else [(0, bool(home), np.arange(len(fps)))]
+                parts += [(np.full(len(i), shard * step + leaf, np.int64), np.full(len(i), at_home), fps[i]) for leaf, at_home, i in dealt]
+            if parts:
+                yield _dealt(parts)
 
     return run
 
@@ -283,6 +288,19 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The rows of each group with the least id; all columns stay.
+
+    Rows without an id stay; rows that repeat the least id of a group all stay.
+    """
+    groups = near_groups(docs, id_col=id_col, text_col=text_col, distance=distance)
+    gone = materialize(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("k_id")).distinct(), "gone")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("k_id"))
+    marked = whole.withColumn("maybe", BitmapFilter(gone, F.xxhash64("k_id")).may_hold(F.xxhash64("k_id")))
+    asked = marked.where("maybe").join(gone, "k_id", "left_anti")
+    return marked.where(~F.col("maybe")).select("row.*").unionByName(asked.select("row.*"))
+
+
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_groups(table(spark, sf_dir, "documents"))
