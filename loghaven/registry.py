@@ -1,15 +1,328 @@
-"""Every registered query and its SQL twin."""
+"""Every registered query of the warehouse and its SQL twin, over the derived logs.
+
+Hashes are hex text here so that both engines compare the same types. Where a number
+depends on the data's size (a head, a range), both sides compute it from the data.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from loghaven.functions import codec, eventset
+from loghaven.functions.eventset import PUNKS, SIGNATURES, TRANSFER, TRANSFER_BATCH, TRANSFER_SINGLE, URI
+from loghaven.operators import analytics as A
+from loghaven.plans.query import Query, as_text, chain_order, filter_logs, log_scan
+from loghaven.sources.derived import BLOCKS_TEMPLATE, LOGS_TEMPLATE, derived_blocks, derived_logs, duckdb_text
+
+HIGH = 1 << 40
+#: Width of a part in the queries, small enough for several parts at every scale.
+WIDTH = 1000
+_CTE = f"WITH l AS ({duckdb_text(LOGS_TEMPLATE)}), b AS ({duckdb_text(BLOCKS_TEMPLATE)}), s AS (SELECT l.*, b.hash AS block_hash, b.ts AS block_ts FROM l JOIN b ON l.block_number = b.number)"
+_COLUMNS = "block_number, log_index, tx_index, tx_hash, address, topic0, topic1, topic2, topic3, data, block_hash, block_ts"
+_NT = "CASE WHEN topic1 IS NULL THEN 1 WHEN topic2 IS NULL THEN 2 WHEN topic3 IS NULL THEN 3 ELSE 4 END"
+_ALL = ", ".join(f"'{s}'" for s in SIGNATURES)
+_PUNK = ", ".join(f"'{s}'" for s in eventset.PUNK_SIGNATURES)
+_KEEP = (
+    f"((topic0 IN ('{TRANSFER}', '{TRANSFER_SINGLE}', '{TRANSFER_BATCH}') AND {_NT} = 4) OR (topic0 IN ('{eventset.METADATA_UPDATE}', '{eventset.BATCH_METADATA_UPDATE}') AND {_NT} = 1)"
+    f" OR (topic0 = '{URI}' AND {_NT} = 2) OR (address = '{PUNKS}' AND topic0 IN ('{TRANSFER}', {_PUNK})))"
+)
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def w(n: int) -> str:
+    """A number as a 32-byte word in hex."""
+    return f"{n:064x}"
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return derived_logs(spark, sf_dir), derived_blocks(spark, sf_dir)
+
+
+def _query(name: str, sql: str, cte: bool = True):
+    """Register a function of (logs, blocks) with its SQL."""
+
+    def put(f: Callable[[DataFrame, DataFrame], DataFrame]):
+        _Q[name] = lambda spark, sf_dir: f(*_both(spark, sf_dir))
+        _SQL[name] = f"{_CTE} {sql}" if cte else sql
+        return f
+
+    return put
+
+
+def _filter(name: str, where: str, **kw) -> None:
+    """A filter query and its WHERE clause."""
+    q = Query(**({"from_block": 0, "to_block": HIGH} | kw), literal=as_text)
+    _query(name, f"SELECT {_COLUMNS} FROM s WHERE block_number BETWEEN {q.from_block} AND {q.to_block} AND {where}")(lambda logs, blocks: filter_logs(logs, blocks, q))
+
+
+# -- filters ------------------------------------------------------------------
+
+_filter("log_scan_join", "true")
+_filter("filter_block_range", "true", from_block=100, to_block=199)
+_filter("filter_address_or", f"address IN ('{PUNKS}', '{1:040x}')", addresses=[PUNKS, f"{1:040x}", PUNKS])
+_filter("filter_topic_or_and", f"topic0 IN ('{TRANSFER}', '{URI}') AND topic1 IN ('{w(3)}', '{w(4)}', '{w(5)}')", topics=[[TRANSFER, URI], [w(3), w(4), w(5)]])
+_filter("filter_wildcard_positions", f"topic0 = '{TRANSFER}' AND topic2 = '{w(7)}'", topics=[[TRANSFER], [], [w(7)], []])
+_filter("filter_wildcard_any_count", f"topic0 = '{TRANSFER}'", topics=[[TRANSFER], [], [], []])
+_filter("filter_valued_excludes_null", f"topic3 IN ('{w(1)}', '{w(2)}')", topics=[[], [], [], [w(1), w(2)]])
+_filter("contract_provenance", f"topic0 = '{TRANSFER}' AND address = '{PUNKS}'", addresses=[PUNKS], topics=[[TRANSFER]])
+_filter("token_provenance", f"topic0 = '{TRANSFER}' AND address = '{PUNKS}' AND topic3 = '{w(23)}'", addresses=[PUNKS], topics=[[TRANSFER], [], [], [w(23)]])
+_filter("erc1155_single", f"topic0 = '{TRANSFER_SINGLE}' AND substr(data, 1, 64) = '{w(7)}'", topics=[[TRANSFER_SINGLE]], erc1155_id=w(7))
+_filter("erc1155_single_uri_mixed", f"((topic0 = '{TRANSFER_SINGLE}' AND substr(data, 1, 64) = '{w(54)}') OR (topic0 = '{URI}' AND topic1 = '{w(54)}'))", topics=[[TRANSFER_SINGLE, URI]], erc1155_id=w(54))
+_filter("erc1155_batch_passthrough", f"((topic0 = '{TRANSFER_SINGLE}' AND substr(data, 1, 64) = '{w(7)}') OR topic0 = '{TRANSFER_BATCH}')", topics=[[TRANSFER_SINGLE, TRANSFER_BATCH]], erc1155_id=w(7))
+_filter("signature_membership", f"topic0 IN ({_ALL})", topics=[list(SIGNATURES)])
+
+
+@_query("block_by_hash_logs", f"SELECT {_COLUMNS} FROM s WHERE block_hash = sha256('block-42')")
+def _(logs, blocks):
+    return log_scan(logs, blocks.where(F.col("hash") == F.sha2(F.lit("block-42"), 256))).drop("data_word0").select(*_COLUMNS.split(", "))
+
+
+@_query("block_hash_by_height", "SELECT number, hash FROM b WHERE number IN (0, 17, 999999999)")
+def _(logs, blocks):
+    return blocks.where(F.col("number").isin(0, 17, 999_999_999)).select("number", "hash")
+
+
+@_query("owner_scan_three_legs", f"SELECT {_COLUMNS}, leg FROM (SELECT *, 1 AS leg FROM s WHERE topic0 IN ({_ALL}) AND topic1 = '{w(7)}' UNION ALL SELECT *, 2 FROM s WHERE topic0 IN ({_ALL}) AND topic2 = '{w(7)}' UNION ALL SELECT *, 3 FROM s WHERE topic0 IN ({_ALL}) AND topic3 = '{w(7)}')")
+def _(logs, blocks):
+    def leg(i: int) -> DataFrame:
+        topics = [list(SIGNATURES), *([w(7)] if k == i else [] for k in (1, 2, 3))]
+        return filter_logs(logs, blocks, Query(0, HIGH, topics=topics, literal=as_text)).withColumn("leg", F.lit(i))
+
+    return leg(1).unionByName(leg(2)).unionByName(leg(3))
+
+
+@_query("topk_chain_order", f"SELECT {_COLUMNS}, row_number() OVER (ORDER BY block_number, log_index) AS place FROM (SELECT * FROM s WHERE topic0 = '{TRANSFER}' ORDER BY block_number, log_index LIMIT 101)")
+def _(logs, blocks):
+    capped = chain_order(filter_logs(logs, blocks, Query(0, HIGH, topics=[[TRANSFER]], literal=as_text)), 100)
+    return capped.withColumn("place", F.row_number().over(W.orderBy("block_number", "log_index")))
+
+
+@_query("cap_exceeded_flag", f"SELECT count(*) > 100 AS exceeded FROM (SELECT 1 FROM s WHERE topic0 = '{TRANSFER}' LIMIT 101)")
+def _(logs, blocks):
+    return chain_order(filter_logs(logs, blocks, Query(0, HIGH, topics=[[TRANSFER]], literal=as_text)), 100).agg((F.count(F.lit(1)) > 100).alias("exceeded"))
+
+
+# -- shapes -------------------------------------------------------------------
+
+
+@_query("keep_shape_filter", f"SELECT block_number, log_index, topic0, address FROM l WHERE {_KEEP}")
+def _(logs, blocks):
+    return A.kept(logs, hexed=True).select("block_number", "log_index", "topic0", "address")
+
+
+@_query("dropped_shapes_by_reason", f"SELECT CASE WHEN topic0 IN ({_PUNK}) THEN 'foreign contract' WHEN topic0 IN ({_ALL}) THEN 'topic count' ELSE 'unknown signature' END AS reason, count(*) AS n_logs FROM l WHERE NOT {_KEEP} GROUP BY ALL")
+def _(logs, blocks):
+    return logs.withColumn("reason", A.drop_reason(hexed=True)).where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n_logs"))
+
+
+@_query("signature_counts", f"SELECT CASE topic0 {' '.join(f"WHEN '{s}' THEN '{n}'" for s, n in eventset.NAMES.items())} END AS event, count(*) AS n_logs FROM l WHERE {_KEEP} GROUP BY ALL")
+def _(logs, blocks):
+    return A.kept(logs, hexed=True).groupBy(A.event_name(F.col("topic0")).alias("event")).agg(F.count(F.lit(1)).alias("n_logs"))
+
+
+@_query("omitted_shapes", f"SELECT topic0, count(*) AS n_logs, {sum(len(eventset.omitted_shapes(s)) for s in SIGNATURES)} AS n_chars FROM l WHERE topic0 IN ({_ALL}) AND NOT {_KEEP} GROUP BY ALL")
+def _(logs, blocks):
+    chars = sum(len(eventset.omitted_shapes(s)) for s in SIGNATURES)
+    return logs.where(F.col("topic0").isin(list(SIGNATURES)) & A.drop_reason(hexed=True).isNotNull()).groupBy("topic0").agg(F.count(F.lit(1)).alias("n_logs")).withColumn("n_chars", F.lit(chars))
+
+
+@_query("topics_roundtrip", f"SELECT block_number, log_index, {_NT} AS n_topics, concat_ws(',', topic0, topic1, topic2, topic3) AS topics FROM l")
+def _(logs, blocks):
+    as_array = codec.topics_array(*(F.col(t) for t in codec.TOPICS))
+    return logs.select("block_number", "log_index", as_array.alias("t")).select("block_number", "log_index", F.size("t").alias("n_topics"), F.concat_ws(",", *(codec.topic_at(F.col("t"), i) for i in range(4))).alias("topics"))
+
+
+@_query("log_json", "SELECT block_number, log_index, '0x' || lower(hex(block_number)) AS block_quantity, '0x' || lower(hex(log_index)) AS index_quantity, '0x' || data AS data FROM s")
+def _(logs, blocks):
+    binary = log_scan(logs, blocks).select("block_number", "log_index", "tx_index", *[F.unhex(c).alias(c) for c in ("tx_hash", "address", "topic0", "topic1", "topic2", "topic3", "data", "block_hash")], "block_ts")
+    shaped = binary.select("block_number", "log_index", codec.log_json().alias("j"))
+    return shaped.select("block_number", "log_index", *[F.get_json_object("j", f"$.{k}").alias(v) for k, v in (("blockNumber", "block_quantity"), ("logIndex", "index_quantity"), ("data", "data"))])
+
+
+@_query("extract_source", f"SELECT block_number, log_index, lower(topic0) AS topic0, address, data FROM l WHERE block_number <= 900 AND {_KEEP}")
+def _(logs, blocks):
+    ox = lambda c: F.concat(F.lit("0x"), F.col(c))
+    source = logs.select("block_number", F.col("log_index").cast("long").alias("log_index"), F.col("tx_index").cast("long").alias("transaction_index"), ox("tx_hash").alias("transaction_hash"), ox("address").alias("address"), F.when(F.col("data") != "", ox("data")).alias("data"), F.filter(F.array(*(ox(t) for t in codec.TOPICS)), lambda t: t.isNotNull()).alias("topics"))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return A.extract(source, 900).select("block_number", F.col("log_index").cast("int").alias("log_index"), text("topic0"), text("address"), text("data"))
+
+
+# -- counts -------------------------------------------------------------------
+
+
+@_query("part_row_counts", f"SELECT lpad(CAST(p AS varchar), 3, '0') AS part, count(l.block_number) AS n_logs FROM range(200) r(p) LEFT JOIN l ON l.block_number // {WIDTH} = p GROUP BY p")
+def _(logs, blocks):
+    return A.part_counts(logs, 200, WIDTH)
+
+
+@_query("stats_by_year_event", "SELECT CAST(year(to_timestamp(block_ts)) AS int) AS year, topic0, count(*) AS n_logs, CAST(sum(length(data) // 2) AS bigint) AS sum_len, avg(length(data) // 2) AS avg_len, CAST(max(length(data) // 2) AS int) AS max_len FROM s GROUP BY ALL")
+def _(logs, blocks):
+    return A.by_year_and_event(log_scan(logs, blocks), F.octet_length(F.unhex("data")))
+
+
+@_query("stats_totals", "SELECT count(*) AS n_logs, CAST(sum(length(data) // 2) AS bigint) AS sum_len, count(DISTINCT address) AS n_address, count(DISTINCT topic1) AS n_topic1, count(DISTINCT topic2) AS n_topic2, count(DISTINCT topic3) AS n_topic3, min(block_number) AS first_block, max(block_number) AS last_block FROM l")
+def _(logs, blocks):
+    return A.totals(logs, F.octet_length(F.unhex("data")))
+
+
+@_query("densest_block", "SELECT max(n) AS max_logs FROM (SELECT count(*) AS n FROM l GROUP BY block_number)")
+def _(logs, blocks):
+    return A.densest_block(logs)
+
+
+@_query("logs_last_window", "SELECT count(*) AS n_logs FROM s WHERE block_ts > (SELECT max(ts) - 30 * 86400 FROM b)")
+def _(logs, blocks):
+    latest = blocks.agg((F.max("ts") - 30 * 86400).alias("since"))
+    return log_scan(logs, blocks).join(F.broadcast(latest), F.col("block_ts") > F.col("since")).agg(F.count(F.lit(1)).alias("n_logs"))
+
+
+@_query("monthly_events", "SELECT strftime(to_timestamp(block_ts) AT TIME ZONE 'UTC', '%Y-%m') AS month, topic0, count(*) AS n_logs FROM s GROUP BY ALL")
+def _(logs, blocks):
+    return log_scan(logs, blocks).groupBy(F.date_format(F.timestamp_seconds("block_ts"), "yyyy-MM").alias("month"), "topic0").agg(F.count(F.lit(1)).alias("n_logs"))
+
+
+@_query("distinct_key_check", "SELECT count(*) AS n_logs, count(DISTINCT (block_number, log_index)) AS n_keys FROM l")
+def _(logs, blocks):
+    return logs.agg(F.count(F.lit(1)).alias("n_logs"), F.count_distinct("block_number", "log_index").alias("n_keys"))
+
+
+@_query("duplicate_keys", "SELECT l_orderkey AS block_number, CAST(l_linenumber AS int) AS log_index, count(*) AS count FROM lineitem GROUP BY ALL HAVING count(*) > 1", cte=False)
+def _(logs, blocks):
+    return A.duplicate_keys(logs.select("block_number", F.col("tx_index").alias("log_index")))
+
+
+@_query("blocks_interval_check", "SELECT min(number) AS first, max(number) AS last, count(*) AS n, count(*) = max(number) - min(number) + 1 AND count(*) = count(DISTINCT number) AS contiguous FROM b")
+def _(logs, blocks):
+    return A.interval_of(blocks)
+
+
+# -- chain checks ---------------------------------------------------------------
+
+
+
+
+def _reported(blocks: DataFrame) -> DataFrame:
+    """Headers as a node reports them: every 97th height was replaced."""
+    replaced = F.sha2(F.concat(F.lit("fork-"), F.col("number").cast("string")), 256)
+    return blocks.withColumn("hash", F.when(F.col("number") % 97 == 0, replaced).otherwise(F.col("hash")))
+
+
+def _headers(blocks: DataFrame) -> DataFrame:
+    """Headers with parent hashes of the stored chain; replaced heights break the links."""
+    parent = F.sha2(F.concat(F.lit("block-"), (F.col("number") - 1).cast("string")), 256)
+    return _reported(blocks).withColumn("parent_hash", parent)
+
+
+_FORK = "CASE WHEN number % 97 = 0 THEN sha256('fork-' || CAST(number AS varchar)) ELSE hash END"
+
+
+@_query("logless_blocks", "SELECT number FROM b WHERE number NOT IN (SELECT block_number FROM l)")
+def _(logs, blocks):
+    return A.logless(blocks, logs).select("number")
+
+
+@_query("disagreeing_heights", "SELECT DISTINCT block_number FROM l WHERE block_number % 97 = 0")
+def _(logs, blocks):
+    return A.disagreeing(log_scan(logs, blocks), _reported(blocks), F.lit("0" * 64))
+
+
+@_query("unmatched_logs", "SELECT block_number, log_index FROM l WHERE block_number % 97 = 0 OR block_number % 89 = 0")
+def _(logs, blocks):
+    known = _reported(blocks).where(F.col("number") % 89 != 0)
+    return A.unmatched_logs(log_scan(logs, blocks), known, F.lit("0" * 64)).select("block_number", "log_index")
+
+
+@_query("parent_continuity", "SELECT number FROM b WHERE (number - 1) % 97 = 0 AND number > 0")
+def _(logs, blocks):
+    return A.broken_links(_headers(blocks)).select("number")
+
+
+@_query("parent_continuity_batch", "SELECT number FROM b WHERE (number - 1) % 97 = 0 AND number BETWEEN 90 AND 200")
+def _(logs, blocks):
+    batch = _headers(blocks).where(F.col("number").between(90, 200))
+    return A.broken_links_of_batch(batch, F.sha2(F.lit("block-89"), 256)).select("number")
+
+
+@_query("fork_point", f"SELECT max(number) AS ancestor FROM (SELECT number, hash, {_FORK} AS c FROM b) WHERE hash = c AND number < 195 AND number >= 195 - 1024")
+def _(logs, blocks):
+    return A.fork_point(blocks, _reported(blocks), 195)
+
+
+@_query("rewind_survivors", "SELECT block_number // 1000 AS part, count(*) AS n_logs FROM l WHERE block_number <= 1234 GROUP BY ALL")
+def _(logs, blocks):
+    return logs.where(F.col("block_number") <= 1234).groupBy(codec.part_of(F.col("block_number"), WIDTH).alias("part")).agg(F.count(F.lit(1)).alias("n_logs"))
+
+
+@_query("write_range_replace", "SELECT block_number, log_index, CASE WHEN block_number BETWEEN 300 AND 400 THEN 'new' ELSE 'old' END AS generation FROM l WHERE NOT (block_number BETWEEN 300 AND 400 AND log_index > 1)")
+def _(logs, blocks):
+    new = logs.where(F.col("log_index") <= 1).withColumn("generation", F.lit("new"))
+    return A.replace_range(logs.withColumn("generation", F.lit("old")), new, 300, 400).select("block_number", "log_index", "generation")
+
+
+@_query("coverage_merge", "SELECT min(block_number) AS start, max(block_number) AS head FROM l WHERE block_number BETWEEN 50 AND 500")
+def _(logs, blocks):
+    one = lambda a, b: logs.where(F.col("block_number").between(a, b)).agg(F.min("block_number").alias("start"), F.max("block_number").alias("head"))
+    return one(50, 300).unionByName(one(250, 500)).agg(F.min("start").alias("start"), F.max("head").alias("head"))
+
+
+@_query("routing_two_leg_union", f"SELECT {_COLUMNS}, CASE WHEN block_number <= 700 THEN 'warehouse' ELSE 'node' END AS leg, row_number() OVER (ORDER BY block_number, log_index) AS place FROM s WHERE topic0 = '{TRANSFER}' AND block_number BETWEEN 600 AND 800")
+def _(logs, blocks):
+    leg = lambda a, b, name: filter_logs(logs, blocks, Query(a, b, topics=[[TRANSFER]], literal=as_text)).withColumn("leg", F.lit(name))
+    return leg(600, 700, "warehouse").unionByName(leg(701, 800, "node")).withColumn("place", F.row_number().over(W.orderBy("block_number", "log_index")))
+
+
+@_query("dense_block_receipts", f"SELECT block_number, log_index, topic0 FROM l WHERE topic0 IN ({_ALL})")
+def _(logs, blocks):
+    return A.logs_of_receipts(A.receipts_of(logs), [F.lit(s) for s in SIGNATURES]).select("block_number", "log_index", "topic0")
+
+
+@_query("pagination_windows", "SELECT f AS from_block, least(f + 249, (SELECT max(number) FROM b)) AS to_block FROM (SELECT unnest(range(0, (SELECT max(number) + 1 FROM b), 250)) AS f)")
+def _(logs, blocks):
+    top = blocks.agg(F.max("number").alias("top"))
+    spread = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"), F.lit(250).cast("long"))).alias("from_block"), "top")
+    return spread.select("from_block", F.least(F.col("from_block") + 249, F.col("top")).alias("to_block"))
+
+
+@_query("confirmed_blocks", "SELECT number, hash FROM b WHERE number <= (SELECT max(number) - 2 FROM b) AND number > (SELECT max(number) - 12 FROM b)")
+def _(logs, blocks):
+    tip = blocks.agg(F.max("number").alias("tip"))
+    return blocks.join(F.broadcast(tip), F.col("number").between(F.col("tip") - 11, F.col("tip") - 2)).select("number", "hash")
+
+
+def _files(logs: DataFrame) -> DataFrame:
+    """A listing with one file for each part of the logs."""
+    path = F.concat(F.lit("logs/part="), codec.part_name(codec.part_of(F.col("block_number"), WIDTH)), F.lit("/a.parquet"))
+    return logs.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("size")).withColumn("md5", F.md5("path"))
+
+
+_FILES = f"f AS (SELECT 'logs/part=' || lpad(CAST(block_number // {WIDTH} AS varchar), 3, '0') || '/a.parquet' AS path, count(*) AS size FROM l GROUP BY ALL), g AS (SELECT path, size, md5(path) AS md5 FROM f)"
+
+
+@_query("unit_fingerprint", f", {_FILES} SELECT sha256(string_agg(path || '|' || size || '|' || md5 || chr(10), '' ORDER BY path)) AS fingerprint FROM g")
+def _(logs, blocks):
+    return A.unit_fingerprint(_files(logs), "logs/")
+
+
+@_query("manifest_file_diff", f", {_FILES}, n AS (SELECT *, CAST(substr(path, 11, 3) AS int) AS p FROM g) SELECT path, CASE WHEN p % 3 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM n WHERE p % 3 = 0 OR p % 5 = 0 UNION ALL SELECT 'logs/part=999/b.parquet', 'unlisted'")
+def _(logs, blocks):
+    listed = _files(logs)
+    number = F.substring("path", 11, 3).cast("int")
+    present = listed.where(number % 3 != 0).withColumn("size", F.when(number % 5 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    extra = listed.agg(F.lit("logs/part=999/b.parquet").alias("path"), F.lit(1).cast("long").alias("size"), F.lit("x").alias("md5"))
+    return A.file_differences(listed, present.unionByName(extra))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """Name to function of (spark, folder of tables)."""
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for every query here."""
+    return dict(_SQL)
