@@ -184,10 +184,9 @@ class Paginator:
             except Exception as e:
                 if not is_too_large(e):
                     raise ProviderError(f"failed to get logs for range {at}-{top}: {e}") from e
-                span = top - at + 1
-                if span == 1:
+                if at == top:
                     raise SingleBlockOverflow(at, e) from e
-                step = span // 2
+                step //= 2
                 if is_span_cap(e):
                     ceiling = min(ceiling, step)
                 self.clock.sleep(self.pause)
