@@ -97,7 +97,7 @@ def _(logs, blocks):
     return leg(1).unionByName(leg(2)).unionByName(leg(3))
 
 
-@_query("topk_chain_order", f"SELECT {_COLUMNS}, row_number() OVER (ORDER BY block_number, log_index) AS place FROM (SELECT * FROM s WHERE topic0 = '{TRANSFER}' ORDER BY block_number, log_index LIMIT 101)")
+@_query("topk_chain_order", f"SELECT {_COLUMNS}, CAST(row_number() OVER (ORDER BY block_number, log_index) AS int) AS place FROM (SELECT * FROM s WHERE topic0 = '{TRANSFER}' ORDER BY block_number, log_index LIMIT 101)")
 def _(logs, blocks):
     capped = chain_order(filter_logs(logs, blocks, Query(0, HIGH, topics=[[TRANSFER]], literal=as_text)), 100)
     return capped.withColumn("place", F.row_number().over(W.orderBy("block_number", "log_index")))
@@ -271,7 +271,7 @@ def _(logs, blocks):
     return one(50, 300).unionByName(one(250, 500)).agg(F.min("start").alias("start"), F.max("head").alias("head"))
 
 
-@_query("routing_two_leg_union", f"SELECT {_COLUMNS}, CASE WHEN block_number <= 700 THEN 'warehouse' ELSE 'node' END AS leg, row_number() OVER (ORDER BY block_number, log_index) AS place FROM s WHERE topic0 = '{TRANSFER}' AND block_number BETWEEN 600 AND 800")
+@_query("routing_two_leg_union", f"SELECT {_COLUMNS}, CASE WHEN block_number <= 700 THEN 'warehouse' ELSE 'node' END AS leg, CAST(row_number() OVER (ORDER BY block_number, log_index) AS int) AS place FROM s WHERE topic0 = '{TRANSFER}' AND block_number BETWEEN 600 AND 800")
 def _(logs, blocks):
     leg = lambda a, b, name: filter_logs(logs, blocks, Query(a, b, topics=[[TRANSFER]], literal=as_text)).withColumn("leg", F.lit(name))
     return leg(600, 700, "warehouse").unionByName(leg(701, 800, "node")).withColumn("place", F.row_number().over(W.orderBy("block_number", "log_index")))
