@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loghaven.llm.common import BitmapFilter, materialize, rows_of, ship_package, table
@@ -110,54 +110,63 @@ class Words:
         return grams[at], at
 
 
-def _batch(parts: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
+def _places(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Byte offsets of a unit in one number that keeps their order (texts are shorter than 2**31)."""
+    return start.astype(np.int64) << 32 | end.astype(np.int64)
+
+
+class _Rows:
+    """Columns of hashes, keys and places, given out in batches."""
+
+    NAMES = ("hash", "k_id", "k_text", "place")
+    DDL = "hash long, k_id long, k_text long, place long"
+
+    def __init__(self):
+        self.parts, self.n = [], 0
+
+    def put(self, k_id: int, k_text: int, hashes: np.ndarray, places: np.ndarray) -> None:
+        if m := len(hashes):
+            self.parts.append((hashes.view(np.int64), np.full(m, k_id, np.int64), np.full(m, k_text, np.int64), places))
+            self.n += m
+
+    def batch(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if self.n >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*self.parts, strict=True)], names=self.NAMES)
+            self.parts, self.n = [], 0
 
 
 def _units(min_words: int, window: int, gram: int):
-    names = ("kind", "hash", "k_id", "k_text", "start", "end")
+    """Lines, and anchors with the number -1 - word as place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        rows = _Rows()
         for k_id, k_text, text in rows_of(batches, "k_id", "k_text", "text"):
             words = Words(text)
             hashes, starts, ends = words.lines(min_words)
+            rows.put(k_id, k_text, hashes, _places(starts, ends))
             grams, at = words.anchors(window, gram)
-            for kind, h, s, e in ((0, hashes, starts, ends), (1, grams, at, at)):
-                if m := len(h):
-                    parts.append((np.full(m, kind, np.int8), h.view(np.int64), np.full(m, k_id, np.int64), np.full(m, k_text, np.int64), s.astype(np.int64), e.astype(np.int64)))
-                    n += m
-            if n > 50_000:
-                yield _batch(parts, names)
-                parts, n = [], 0
-        if parts:
-            yield _batch(parts, names)
+            rows.put(k_id, k_text, _mixed(grams + np.uint64(1)), -1 - at.astype(np.int64))
+            yield from rows.batch(50_000)
+        yield from rows.batch()
 
     return run
 
 
 def _windows(window: int, gram: int):
-    names = ("hash", "k_id", "k_text", "start", "end")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        rows = _Rows()
         for k_id, k_text, text, anchors, gone in rows_of(batches, "k_id", "k_text", "text", "anchors", "gone"):
             words = Words(text)
             starts = np.unique((np.asarray(anchors, np.int64)[:, None] - np.arange(window - gram + 1)[None, :]).ravel())
             starts = starts[(starts >= 0) & (starts + window <= words.n)]
             left = np.ones(words.n + 1, np.int64)  # words that stay if the lines go
-            for line in gone or ():
-                left[np.searchsorted(words.starts, line["start"]) : np.searchsorted(words.ends, line["end"], "right")] = 0
+            for place in gone or ():
+                left[np.searchsorted(words.starts, place >> 32) : np.searchsorted(words.ends, place & 0xFFFFFFFF, "right")] = 0
             sums = np.concatenate(([0], np.cumsum(left)))
             starts = starts[sums[starts + window] > sums[starts]]
-            if m := len(starts):
-                parts.append((words.runs(starts, starts + window).view(np.int64), np.full(m, k_id, np.int64), np.full(m, k_text, np.int64), words.starts[starts].astype(np.int64), words.ends[starts + window - 1].astype(np.int64)))
-                n += m
-            if n > 50_000:
-                yield _batch(parts, names)
-                parts, n = [], 0
-        if parts:
-            yield _batch(parts, names)
+            rows.put(k_id, k_text, words.runs(starts, starts + window), _places(words.starts[starts], words.ends[starts + window - 1]))
+            yield from rows.batch(50_000)
+        yield from rows.batch()
 
     return run
 
@@ -199,11 +208,23 @@ def _cleaned(texts: pa.Array, spans: pa.Array) -> pa.Array:
 _NULL_ID = -(1 << 63)
 
 
-def _others(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Occurrences of digests that occur more than once, with the earliest one."""
-    place = F.struct("k_id", "k_text", "start", "end")
-    repeated = found.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
-    return found.join(repeated.select(*keys, "first"), keys)
+def _others(found: DataFrame) -> DataFrame:
+    """Occurrences of digests that occur more than once, with the earliest one.
+
+    The repeated digests are written first, so that both sides of the join are plain
+    shuffles, which adaptive execution can split where one digest has very many rows.
+    """
+    earliest = F.min(F.struct("k_id", "k_text", "place")).alias("first")
+    repeated = found.groupBy("hash").agg(earliest, F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return found.join(materialize(repeated.select("hash", "first"), "repeated"), "hash").drop("hash")
+
+
+def _start(place: str) -> Column:
+    return F.shiftright(place, 32)
+
+
+def _end(place: str) -> Column:
+    return F.col(place).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -212,21 +233,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k_id"), F.xxhash64(F.col(text_col)).alias("k_text"), F.col(text_col).alias("text"))
     keyed = whole.select("k_id", "k_text", "text").where(F.length("text") > 0)
 
-    units = materialize(keyed.mapInArrow(_units(min_words, window, gram), "kind byte, hash long, k_id long, k_text long, start long, end long"), "units")
-    again = materialize(_others(units, ["kind", "hash"]), "again")
-    place = F.struct("k_id", "k_text", "start", "end")
-    lines = again.where((F.col("kind") == 0) & (place != F.col("first"))).select("k_id", "k_text", "start", "end", "first")
+    units = materialize(keyed.mapInArrow(_units(min_words, window, gram), _Rows.DDL), "units")
+    again = materialize(_others(units), "again")
+    own = (F.col("first.k_id") == F.col("k_id")) & (F.col("first.k_text") == F.col("k_text"))
+    later = ~own | (F.col("first.place") != F.col("place"))
+    lines = again.where((F.col("place") >= 0) & later)
 
-    anchors = again.where(F.col("kind") == 1).groupBy("k_id", "k_text").agg(F.collect_set("start").alias("anchors"))
-    gone = lines.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+    anchors = again.where(F.col("place") < 0).groupBy("k_id", "k_text").agg(F.collect_set(-1 - F.col("place")).alias("anchors"))
+    gone = lines.groupBy("k_id", "k_text").agg(F.collect_set("place").alias("gone"))
     asked = materialize(anchors.join(gone, ["k_id", "k_text"], "left"), "asked")
     key = F.xxhash64("k_id", "k_text")
     near = keyed.where(BitmapFilter(asked, key).may_hold(key)).join(asked, ["k_id", "k_text"])
-    windows = materialize(near.mapInArrow(_windows(window, gram), "hash long, k_id long, k_text long, start long, end long"), "windows")
-    passages = _others(windows, ["hash"]).where(place != F.col("first")).select("k_id", "k_text", "start", "end", "first")
+    windows = materialize(near.mapInArrow(_windows(window, gram), _Rows.DDL), "windows")
+    passages = _others(windows).where(later)
     # the first occurrence of a window that overlaps itself in one document stays whole
-    own = (F.col("first.k_id") == F.col("k_id")) & (F.col("first.k_text") == F.col("k_text"))
-    passages = passages.withColumn("start", F.when(own, F.greatest("start", "first.end")).otherwise(F.col("start"))).where(F.col("start") < F.col("end"))
+    cut_from = F.when(own, F.greatest(_start("place"), _end("first.place"))).otherwise(_start("place"))
+    lines, passages = lines.select("*", _start("place").alias("start"), _end("place").alias("end")), passages.select("*", cut_from.alias("start"), _end("place").alias("end"))
+    passages = passages.where(F.col("start") < F.col("end"))
 
     first_id = F.when(F.col("first.k_id") != _NULL_ID, F.col("first.k_id"))
     spans = lines.unionByName(passages).groupBy("k_id", "k_text").agg(F.collect_set(F.struct("start", "end", first_id.alias("first_id"))).alias("spans"))
