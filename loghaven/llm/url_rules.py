@@ -129,7 +129,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     swept = ranged.unionByName(dealt).withColumn("on_top", F.last("event", ignorenulls=True).over(sweep)).where((F.col("kind") == 1) & F.col("on_top.top").isNotNull())
     top = F.col("on_top.top")
     best = swept.groupBy("host", "path").agg(F.max(F.struct(top["size"], top["host_size"], top["rule"], top["verdict"])).alias("best"))
-    judged = parts.join(best, ["host", "path"], "left")
+    # written first: a join of plain shuffles can be split where one URL has very many rows
+    judged = parts.join(materialize(best, "best"), ["host", "path"], "left")
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
