@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,10 +34,21 @@ def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     Values are turned to Python objects a slice at a time, so that one batch of long
     texts is never held twice.
     """
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+    finally:
+        release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -75,8 +89,8 @@ class BitmapFilter:
         spot = F.pmod(hashed, F.lit(self.bits))
         words = keys.select(spot.alias("spot")).selectExpr("shiftright(spot, 6) AS word", "shiftleft(1L, CAST(spot % 64 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
         bitmap = np.zeros(self.bits >> 6, np.int64)
-        for r in words.collect():
-            bitmap[r["word"]] = r["bits"]
+        found = words.toArrow()  # columns, not rows: 32 MB at the most
+        bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
         self.bitmap = spark.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def may_hold(self, hashed: Column) -> Column:

@@ -65,7 +65,7 @@ class _Memo(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         before, core, after = _OUTER.match(word).groups()
         case = "U" if len(core) > 1 and core.isupper() else "x"
@@ -142,13 +142,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """The table of log ratios: raw counts of all documents, target counts of labelled ones."""
     ship_package(docs.sparkSession)
     judged = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality"), F.max(F.coalesce("toxic", F.lit(1))).alias("toxic"))
-    drawn = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).collect()
-    targets = frozenset(r["doc_id"] for r in drawn if r["quality"] == 1 and r["toxic"] == 0)
+    drawn = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).where((F.col("quality") == 1) & (F.col("toxic") == 0))
+    targets = frozenset(drawn.select("doc_id").toArrow()["doc_id"].to_pylist())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = rows.mapInArrow(_counts(targets), "place long, raw long, good long").groupBy("place").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    found = counted.toPandas()
+    found = counted.toArrow()
     raw, good = np.zeros(_DOCS + 1), np.zeros(_DOCS + 1)
-    places = found["place"].to_numpy(np.int64)
+    places = found["place"].to_numpy()
     raw[places], good[places] = found["raw"].to_numpy(), found["good"].to_numpy()
     return log_ratios(raw, good)
 

@@ -12,6 +12,7 @@ other code point goes to the ``tokenizers`` library itself.
 from __future__ import annotations
 
 import base64
+import functools
 import json
 from collections.abc import Iterator
 
@@ -58,7 +59,8 @@ class TokenEncoder:
 
     def __init__(self, path: str):
         self.path = path
-        self._library = self._fast = self._pieces = None
+        self._fast = self._pieces = None
+        self._is_json = path.endswith(".json")
         if path.endswith(".model"):
             import sentencepiece
 
@@ -68,12 +70,16 @@ class TokenEncoder:
                 ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, lines)}
             self._fast = self._engine(ranks, {})
         else:
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_file(path)
             with open(path, encoding="utf-8") as source:
                 self._fast = self._from_json(json.load(source))
 
+    @functools.cached_property
+    def _library(self):
+        """The ``tokenizers`` library's own encoder, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _engine(ranks: dict[bytes, int], special: dict[str, int]):
         import tiktoken
@@ -109,7 +115,7 @@ class TokenEncoder:
             return np.empty(0, np.uint32)
         if self._pieces is not None:
             return np.asarray(self._pieces.encode(text, num_threads=1), np.uint32)
-        if self._library is not None and (self._fast is None or _UNCOMPARED.search(text)):
+        if self._is_json and (self._fast is None or _UNCOMPARED.search(text)):
             parts = pieces(text) if self._fast is not None else (text,)
             return np.concatenate([np.asarray(self._library.encode(p, add_special_tokens=False).ids, np.uint32) for p in parts])
         parts = [np.asarray(self._fast.encode_to_numpy(p, allowed_special="all"), np.uint32) for p in pieces(text)]
