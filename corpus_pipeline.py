@@ -5,14 +5,14 @@ written as Parquet to the shared folder and read again as the next one's input.
 stages but the last return the columns of ``documents``.
 
 1. ``quality``: importance resampling draws the documents to keep.
-2. ``near_copies``: of each group of documents with SimHash fingerprints within
-   ``NEAR_BITS`` bits the one with the least id stays.
+2. ``near_copies``: of each group of documents linked by a similarity of 0.8 or more
+   (Jaccard, sets of five-word shingles) the one with the least id stays.
 3. ``passages``: repeated lines and passages go, the earliest stays; a document of which
    nothing is left goes; ``n_chars`` follows the text.
 4. ``leaks``: documents that hold a benchmark item go.
 5. ``pack``: what is left is packed into sequences of 2048 ids.
 
-No SQL twin: tokens, sampling noise and Hamming search are beyond SQL; each stage is
+No SQL twin: tokens, sampling noise and set similarity search are beyond SQL; each stage is
 tested against a brute-force version in ``tests/llm``.
 """
 
@@ -25,12 +25,8 @@ from loghaven.llm.common import scratch_path, table
 from loghaven.llm.decontaminate import remove_leaks
 from loghaven.llm.importance import resample
 from loghaven.llm.line_dedup import remove_repeats
+from loghaven.llm.near_copies import keep_one
 from loghaven.llm.packing import pack
-from loghaven.llm.simhash_groups import keep_one
-
-#: Bits by which near copies may differ, as in the registered query. At four bits the
-#: shards that a point visits grew 15-fold on five times the rows.
-NEAR_BITS = 2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs, distance=NEAR_BITS)
+    return keep_one(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
