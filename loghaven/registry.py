@@ -145,12 +145,21 @@ def _(logs, blocks):
     return shaped.select("block_number", "log_index", *[F.get_json_object("j", f"$.{k}").alias(v) for k, v in (("blockNumber", "block_quantity"), ("logIndex", "index_quantity"), ("data", "data"))])
 
 
-@_query("extract_source", f"SELECT block_number, log_index, lower(topic0) AS topic0, address, data FROM l WHERE block_number <= 900 AND {_KEEP}")
-def _(logs, blocks):
+def _extracted(logs: DataFrame, last_block: int) -> DataFrame:
     ox = lambda c: F.concat(F.lit("0x"), F.col(c))
     source = logs.select("block_number", F.col("log_index").cast("long").alias("log_index"), F.col("tx_index").cast("long").alias("transaction_index"), ox("tx_hash").alias("transaction_hash"), ox("address").alias("address"), F.when(F.col("data") != "", ox("data")).alias("data"), F.filter(F.array(*(ox(t) for t in codec.TOPICS)), lambda t: t.isNotNull()).alias("topics"))
     text = lambda c: F.lower(F.hex(c)).alias(c)
-    return A.extract(source, 900).select("block_number", F.col("log_index").cast("int").alias("log_index"), text("topic0"), text("address"), text("data"))
+    return A.extract(source, last_block).select("block_number", F.col("log_index").cast("int").alias("log_index"), text("topic0"), text("address"), text("data"))
+
+
+@_query("extract_source", f"SELECT block_number, log_index, lower(topic0) AS topic0, address, data FROM l WHERE block_number <= 900 AND {_KEEP}")
+def _(logs, blocks):
+    return _extracted(logs, 900)
+
+
+@_query("extract_source_whole", f"SELECT block_number, log_index, lower(topic0) AS topic0, address, data FROM l WHERE block_number <= (SELECT max(block_number) FROM l) AND {_KEEP}")
+def _(logs, blocks):
+    return _extracted(logs, logs.agg(F.max("block_number")).first()[0] or 0)
 
 
 # -- counts -------------------------------------------------------------------
@@ -254,6 +263,11 @@ def _(logs, blocks):
     return A.fork_point(blocks, _reported(blocks), 195)
 
 
+@_query("fork_point_head", f"SELECT max(number) AS ancestor FROM (SELECT number, hash, {_FORK} AS c FROM b) WHERE hash = c AND number < (SELECT max(number) FROM b) AND number >= (SELECT max(number) FROM b) - 1024")
+def _(logs, blocks):
+    return A.fork_point(blocks, _reported(blocks), blocks.agg(F.max("number")).first()[0] or 0)
+
+
 @_query("rewind_survivors", "SELECT block_number // 1000 AS part, count(*) AS n_logs FROM l WHERE block_number <= 1234 GROUP BY ALL")
 def _(logs, blocks):
     return logs.where(F.col("block_number") <= 1234).groupBy(codec.part_of(F.col("block_number"), WIDTH).alias("part")).agg(F.count(F.lit(1)).alias("n_logs"))
