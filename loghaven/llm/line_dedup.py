@@ -34,38 +34,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loghaven.llm.common import BitmapFilter, materialize, rows_of, ship_package, table
+from loghaven.llm.rolling import Runs, mixed
 
 MIN_WORDS = 5
 WINDOW = 50
 GRAM = 10
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _REMOVED = "array<struct<start: long, end: long, first_doc_id: long>>"
 
 
-class _Powers:
-    """Powers of the base and its inverse modulo 2**64, as far as needed."""
-
-    base = inverse = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.base) <= n:
-            size = 1 << (n + 1).bit_length()
-            for name, by in (("base", _BASE), ("inverse", _INVERSE)):
-                steps = np.full(size, by, np.uint64)
-                steps[0] = 1
-                setattr(cls, name, np.multiply.accumulate(steps))
-        return cls.base, cls.inverse
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 class Words:
     """Byte offsets of the words of a text, and hashes of any run of them."""
 
@@ -78,14 +56,10 @@ class Words:
         self.n = len(self.starts)
         digest = xxhash.xxh3_64_intdigest
         hashes = np.fromiter((digest(w) for w in self.raw.lower().split()), np.uint64, self.n)
-        base, self._inverse = _Powers.upto(self.n)
-        self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * base[: self.n], dtype=np.uint64)))
+        #: Hashes of the words first..last (not included), the same wherever they stand.
+        self.runs = Runs(hashes)
         self.breaks = np.flatnonzero(data == 10)
 
-    def runs(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Hashes of the words first..last (not included), the same wherever they stand."""
-        return _mixed((self._sums[last] - self._sums[first]) * self._inverse[first] + (last - first).astype(np.uint64))
-
     def lines(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, start, end) of the lines that have enough words; offsets leave out outer white space."""
         edges = np.searchsorted(self.starts, self.breaks)
@@ -145,7 +119,7 @@ def _units(min_words: int, window: int, gram: int):
             hashes, starts, ends = words.lines(min_words)
             rows.put(k_id, k_text, hashes, _places(starts, ends))
             grams, at = words.anchors(window, gram)
-            rows.put(k_id, k_text, _mixed(grams + np.uint64(1)), -1 - at.astype(np.int64))
+            rows.put(k_id, k_text, mixed(grams + np.uint64(1)), -1 - at.astype(np.int64))
             yield from rows.batch(50_000)
         yield from rows.batch()
 
