@@ -1,17 +1,21 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8.
 
-The search is exact. Shingles are brought into one order, rare ones first; of two sets
-of similarity t the first ``n - ceil(t * n) + 1`` shingles of each (its prefix) share
-one, so every pair meets in the posting list of a prefix shingle. The order may be any
-that is the same for all documents: it goes by counts in ``BUCKETS`` hashed buckets, a
-table of fixed size whatever the corpus, so passages that a third of the corpus holds come
-last and make no lists.
-
-Documents of one set are one point, so copies never form pairs. The lists are read in two
-rounds, since a group of k near copies has k * k pairs. Round one compares each point with
-the least of its list and with the one before it. Round two compares, in each list, all
-pairs that round one did not bring into one component. Each candidate is verified on the
-whole sets, in whole numbers; the links are joined to components.
+Candidates come from two indexes and are then verified on the whole sets, in whole numbers:
+
+* the vantage-point tree over SimHash fingerprints (see ``simhash_groups``) gives pairs
+  within two bits, most copies with few edits;
+* pairs of that similarity differ by up to some 14 bits, where no tree prunes, so the rest
+  comes from ``BANDS`` bands of ``ROWS`` minimum hashes: two sets of similarity s meet in
+  a band with probability s ** ROWS, in any of them with 0.9998 at 0.8, and more above.
+
+Documents of one set are one point, named by a 64-bit digest, so copies never form pairs.
+A bucket of a band is read in two rounds, since a group of k near copies has k * k pairs.
+Round one compares each point with two chosen points of its bucket. Round two compares,
+in each bucket, all pairs that round one did not bring into one component. The links are
+joined to components. All groups are aggregated before the shuffle or split by equi-joins.
+
+Only a sketch of each document is kept; the sets of the documents that are asked for are
+computed again from their texts, so no shingles of the others are written or shuffled.
 
 Defined results: words are parted at white space and lower-cased (ASCII); a text of fewer
 than five words is one shingle, its whole word sequence; null and empty texts, which have
@@ -27,33 +31,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loghaven.llm.common import BitmapFilter, materialize, release_memory, rows_of, ship_package, text_hash
 from loghaven.llm.components import components
+from loghaven.llm.rolling import mixed
+from loghaven.llm.simhash_groups import link_points
 
 SHINGLE = 5
 #: The similarity as a fraction.
 PART, WHOLE = 4, 5
 SEED = 42
-#: Buckets of the table of counts.
-BUCKETS = 1 << 20
-#: Partial tables of counts that are written at most.
-TABLES = 16
-#: Bits of a shingle that name its list: fewer bytes to shuffle, and a list that two
-#: shingles share only makes candidates that are verified away.
-TOKEN = np.int64((1 << 40) - 1)
+BANDS, ROWS = 16, 4
 #: Numbers that an Arrow batch should hold.
 BATCH = 1 << 18
 
 _NULL_ID = -(1 << 63)
-_SETS = pa.schema([("k_id", pa.int64()), ("k_text", pa.int64()), ("digest", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-_SETS_DDL = "k_id long, k_text long, digest long, shingles array<long>"
-_POSTINGS = pa.schema([("token", pa.int64()), ("point", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-_POSTINGS_DDL = "token long, point long, n int, pos int"
-_COUNTS = pa.schema([("counts", pa.binary())])
+_SKETCH = pa.schema([("k_id", pa.int64()), ("k_text", pa.int64()), ("digest", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SKETCH_DDL = "k_id long, k_text long, digest long, n int, fp long, bands array<long>"
+_SETS_DDL = "digest long, shingles array<long>"
+#: One odd multiplier and one offset for each minimum hash, from a counter.
+_ODD = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_OFFSET = mixed(_ODD)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -72,157 +72,157 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mixed.view(np.int64))
 
 
+def set_digest(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
+
+def fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set as a signed number; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 1 << 14):  # bounded memory for long texts
+        ones += np.unpackbits(shingles[at : at + (1 << 14)].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles)).view(">i8")[0])
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """One hash for each band: of its number and its minimum hashes."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1 << 12):
+        part = shingles[at : at + (1 << 12)].view(np.uint64)
+        moved = part[None, :] * _ODD[:, None] + _OFFSET[:, None]
+        np.minimum(least, (moved ^ (moved >> np.uint64(31))).min(1), out=least)
+    found = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        found = mixed(found * np.uint64(0x9E3779B97F4A7C15) + row)
+    return found.view(np.int64)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    for k_id, k_text, text in rows_of(batches, "k_id", "k_text", "text"):
+        found = shingle_set(text)
+        rows.append((k_id, k_text, set_digest(found), len(found), fingerprint(found), bands(found) if len(found) else None))
+        if len(rows) >= 5000:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SKETCH, strict=True)], schema=_SKETCH)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys: list[tuple] = []
     sets: list[np.ndarray] = []
     held = 0
 
     def batch() -> pa.RecordBatch:
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*keys, strict=True)), lists], schema=_SETS)
+        return pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), lists], names=["digest", "shingles"])
 
-    for k_id, k_text, text in rows_of(batches, "k_id", "k_text", "text"):
-        found = shingle_set(text)
-        keys.append((k_id, k_text, xxhash.xxh3_64_intdigest(found.tobytes(), SEED) - (1 << 63)))
-        sets.append(found)
-        held += len(found) + 4
+    for (text,) in rows_of(batches, "text"):
+        sets.append(shingle_set(text))
+        held += len(sets[-1]) + 4
         if held >= BATCH:
             yield batch()
-            keys, sets, held = [], [], 0
-    if keys:
+            sets, held = [], 0
+    if sets:
         yield batch()
+    release_memory()
 
 
-def _lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
-    column = batch.column(batch.schema.get_field_index(name))
-    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        yield values[a:b]
+class Texts:
+    """The rows of a table with their sketches; gives the sets of asked points."""
 
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        ship_package(docs.sparkSession)
+        self.rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k_id"), text_hash(text_col).alias("k_text"), F.col(text_col).alias("text"))
+        self.sketches = materialize(self.rows.mapInArrow(_sketches, _SKETCH_DDL), "sketches")
+        #: One row for each set: the least row that has it, and the least id.
+        least_id = F.min(F.when(F.col("k_id") != _NULL_ID, F.col("k_id"))).alias("least_id")
+        self.points = materialize(self.sketches.groupBy("digest").agg(F.min(F.struct("k_id", "k_text")).alias("key"), least_id, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "points")
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+    def sets(self, digests: DataFrame) -> DataFrame:
+        """(digest, shingles) of the points asked for, and perhaps of some more."""
+        asked = materialize(digests.join(self.points.select("digest", "key"), "digest").select("key.k_id", "key.k_text"), "asked")
+        key = F.xxhash64("k_id", "k_text")
+        return materialize(self.rows.where(BitmapFilter(asked, key).may_hold(key)).select("text").mapInArrow(_sets, _SETS_DDL), "sets")
 
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) of digests whose sets reach the similarity."""
+        ordered = pairs.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        pairs = materialize(ordered.distinct(), "pairs")
+        sets = self.sets(pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest"))).distinct())
+        sides = pairs.join(sets.toDF("u", "s"), "u").join(sets.toDF("v", "t"), "v")
+        shared = sides.withColumn("shared", F.size(F.array_intersect("s", "t")))
+        return materialize(shared.where((PART + WHOLE) * F.col("shared") >= PART * (F.size("s") + F.size("t"))).select("u", "v"), "links")
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for shingles in _lists(batch, "shingles"):
-            np.add.at(counts, _bucket(shingles), 1)
-    yield pa.RecordBatch.from_arrays([pa.array([counts.astype(np.int32).tobytes()], pa.binary())], schema=_COUNTS)
-    release_memory()
 
+def simhash_pairs(points: DataFrame) -> DataFrame:
+    """Pairs of digests whose fingerprints are equal, or linked by the vantage-point tree."""
+    prints = materialize(points.groupBy("fp").agg(F.min("digest").alias("least")), "prints")
+    near = link_points(prints.select("fp")).select(F.col("u").alias("fp"), "v")
+    far = prints.toDF("v", "far")
+    linked = near.join(prints, "fp").join(far, "v").select(F.col("least").alias("u"), F.col("far").alias("v"))
+    return points.join(prints, "fp").select(F.col("digest").alias("u"), F.col("least").alias("v")).unionByName(linked)
 
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for table in batch.column(0):
-            counts += np.frombuffer(table.as_py(), np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], schema=_COUNTS)
-
-
-def _prefixes(broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = broadcast.value
-        parts: list[tuple[np.ndarray, ...]] = []
-        held = 0
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*parts, strict=True), _POSTINGS, strict=True)], schema=_POSTINGS)
-
-        for rows in batches:
-            points = rows.column(rows.schema.get_field_index("point")).to_numpy()
-            for point, shingles in zip(points.tolist(), _lists(rows, "shingles"), strict=True):
-                n = len(shingles)
-                size = n - -(-PART * n // WHOLE) + 1 if n else 0
-                first = shingles[np.lexsort((shingles, counts[_bucket(shingles)]))[:size]] & TOKEN
-                parts.append((first, np.full(size, point), np.full(size, n, np.int32), np.arange(size, dtype=np.int32)))
-                held += size
-                if held >= BATCH:
-                    yield batch()
-                    parts, held = [], 0
-        if parts:
-            yield batch()
-        release_memory()
 
-    return run
+def buckets(points: DataFrame) -> DataFrame:
+    """(token, digest, n, size) of the points of all buckets that several points share."""
+    rows = points.where(F.col("n") > 0).select(F.explode("bands").alias("token"), "digest", "n")
+    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    return materialize(rows.join(sizes, "token"), "buckets")
+
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of rows (u, n, v, m) whose sizes allow the similarity."""
+    n, m = F.col("n").cast("long"), F.col("m").cast("long")
+    return rows.where((F.col("u") != F.col("v")) & (WHOLE * F.least(n, m) >= PART * F.greatest(n, m))).select("u", "v")
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k_id, k_text, digest of the set, the set and a number of every row, written to the shared folder."""
-    ship_package(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k_id"), text_hash(text_col).alias("k_text"), F.col(text_col).alias("text"))
-    return materialize(rows.mapInArrow(_sets, _SETS_DDL).withColumn("point", F.monotonically_increasing_id()), "sets")
 
+def with_chosen(shared: DataFrame) -> DataFrame:
+    """Pairs of each point with two of its bucket: the one that most others meet, and the smallest.
 
-def distinct_sets(sets: DataFrame, points: DataFrame) -> DataFrame:
-    """One row (point, shingles) for each digest; only rows of copies are shuffled."""
-    again = materialize(sets.select("digest", F.col("point").alias("row")).join(points, "digest").where(F.col("row") != F.col("point")).select(F.col("row").alias("point")), "again")
-    key = F.xxhash64("point")
-    marked = sets.select("point", "shingles", BitmapFilter(again, key).may_hold(key).alias("maybe"))
-    asked = materialize(marked.where("maybe").join(again, "point", "left_anti").select("point", "shingles"), "first")
-    return marked.where(~F.col("maybe")).select("point", "shingles").unionByName(asked)
+    The first is near the middle of a family of copies, so one comparison links a member.
+    """
+    score = shared.groupBy("digest").agg(F.sum("size").alias("score"))
+    chosen = shared.join(score, "digest").groupBy("token").agg(F.max(F.struct("score", "digest", "n")).alias("a"), F.min(F.struct("n", "digest")).alias("b"))
+    chosen = materialize(chosen.select("token", F.explode(F.array(F.struct("a.digest", "a.n"), F.struct("b.digest", "b.n"))).alias("c")), "chosen")
+    return _pairs(shared.join(chosen, "token").select(F.col("digest").alias("u"), "n", F.col("c.digest").alias("v"), F.col("c.n").alias("m")))
 
 
-def postings(sets: DataFrame) -> DataFrame:
-    """(token, point, n, pos, least, before) of the prefix shingles that several sets have.
+def across(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of points of one bucket that lie in different components.
 
-    ``least`` and ``before`` are structs (point, n, pos) of the first set of the list and
-    of the one before this, in order of size.
+    Components that meet are paired first, then their members by equi-joins, so no group
+    is collected and members of one component never meet.
     """
-    tables = materialize(sets.select("shingles").coalesce(TABLES).mapInArrow(_count, "counts binary"), "counts")
-    total = tables.coalesce(1).mapInArrow(_total, "counts binary").first()
-    counts = sets.sparkSession.sparkContext.broadcast(np.frombuffer(bytes(total["counts"]), np.int64) if total else np.zeros(BUCKETS, np.int64))
-    rows = sets.select("point", "shingles").mapInArrow(_prefixes(counts), _POSTINGS_DDL)
-    order = W.partitionBy("token").orderBy("n", "point")
-    one = F.struct("point", "n", "pos")
-    placed = rows.select("*", F.first(one).over(order).alias("least"), F.lag(one).over(order).alias("before"), F.lead("point").over(order).alias("after"))
-    return materialize(placed.where(F.col("before").isNotNull() | F.col("after").isNotNull()).drop("after"), "postings")
-
-
-def _possible(a: str, b: str) -> Column:
-    """Whether two sets that first meet at these places of the order can be similar."""
-    n, m, i, j = (F.col(c).cast("long") for c in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
-    return ((PART + WHOLE) * (1 + F.least(n - i - 1, m - j - 1))) >= PART * (n + m)
-
-
-def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    asked = rows.where((F.col(f"{a}.point") != F.col(f"{b}.point")) & _possible(a, b))
-    return asked.select(F.least(f"{a}.point", f"{b}.point").alias("u"), F.greatest(f"{a}.point", f"{b}.point").alias("v"))
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of points whose sets reach the similarity."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    asked = pairs.select(F.col("u").alias("point")).unionByName(pairs.select(F.col("v").alias("point"))).distinct()
-    some = sets.select("point", "shingles").where(BitmapFilter(asked, F.xxhash64("point")).may_hold(F.xxhash64("point")))
-    some = materialize(some, "asked")
-    sides = pairs.join(some.toDF("u", "s"), "u").join(some.toDF("v", "t"), "v")
-    shared = sides.withColumn("shared", F.size(F.array_intersect("s", "t")))
-    return materialize(shared.where((PART + WHOLE) * F.col("shared") >= PART * (F.size("s") + F.size("t"))).select("u", "v"), "links")
-
-
-def links(sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of points that connect all sets of the similarity."""
-    lists = postings(sets)
-    whole = lists.select(F.struct("point", "n", "pos").alias("a"), "least", "before")
-    first = verified(_pairs(whole, "a", "least").unionByName(_pairs(whole.where(F.col("before").isNotNull()), "a", "before")), sets)
-    roots = components(first).toDF("point", "root")
-    parted = lists.join(roots, "point", "left").select("token", F.coalesce("root", "point").alias("root"), F.struct("point", "n", "pos").alias("one"))
-    several = materialize(parted.groupBy("token", "root").agg(F.collect_list("one").alias("ones")), "parted")
-    left, right = several.toDF("token", "root", "left"), several.toDF("token", "other", "right")
-    across = left.join(right, "token").where(F.col("root") < F.col("other")).select(F.explode("left").alias("a"), "right").select("a", F.explode("right").alias("b"))
-    return first.unionByName(verified(_pairs(across, "a", "b"), sets))
+    parted = materialize(shared.join(roots, "digest", "left").select("token", F.coalesce("root", "digest").alias("root"), "digest", "n"), "parted")
+    inside = parted.select("token", "root").distinct()
+    several = inside.groupBy("token").count().where(F.col("count") > 1).select("token")
+    inside = materialize(inside.join(several, "token"), "inside")
+    meet = inside.join(inside.toDF("token", "other"), "token").where(F.col("root") < F.col("other"))
+    left = meet.join(parted, ["token", "root"]).select("token", "other", F.col("digest").alias("u"), "n")
+    return _pairs(left.join(parted.toDF("token", "other", "v", "m"), ["token", "other"]))
+
+
+def links(texts: Texts) -> DataFrame:
+    """Pairs (u, v) of digests that connect all sets of the similarity."""
+    shared = buckets(texts.points)
+    found = texts.similar(with_chosen(shared).unionByName(simhash_pairs(texts.points)))
+    roots = components(found).toDF("digest", "root")
+    return found.unionByName(texts.similar(across(shared, roots)))
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, k_text and the least id of its component."""
-    sets = shingle_sets(docs, id_col, text_col)
-    rows = sets.select(F.when(F.col("k_id") != _NULL_ID, F.col("k_id")).alias("doc_id"), "k_text", "digest")
-    points = materialize(sets.groupBy("digest").agg(F.min("point").alias("point"), F.min(F.when(F.col("k_id") != _NULL_ID, F.col("k_id"))).alias("least_id")), "points")
-    roots = components(links(distinct_sets(sets, points.select("digest", "point")))).toDF("point", "root")
-    rooted = materialize(points.join(roots, "point", "left").withColumn("root", F.coalesce("root", "point")), "rooted")
+    texts = Texts(docs, id_col, text_col)
+    rows = texts.sketches.select(F.when(F.col("k_id") != _NULL_ID, F.col("k_id")).alias("doc_id"), "k_text", "digest")
+    roots = components(links(texts)).toDF("digest", "root")
+    rooted = materialize(texts.points.select("digest", "least_id").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return rows.join(rooted.join(least, "root").select("digest", "component_id"), "digest").select("doc_id", "k_text", "component_id")
 
