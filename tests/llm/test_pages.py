@@ -85,6 +85,8 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 def test_blocks():
     assert "\n".join(H.article_lines(list(H.blocks(PAGE)))[0]) == "Title & more\nA <b> c de f\none\ntwo\nq r"
     assert list(H.blocks("")) == [] and [b.text for b in H.blocks("<p>a<p>b<!-- c")] == ["a", "b"] and [b.text for b in H.blocks("x < y &am &quo")] == ["x < y &am &quo"]
+    assert [b.text for b in H.blocks('<p>a</p><a href="x>rest of <b>page</b>')] == ["a", "rest of page"]  # no markup, whatever the quotes
+    assert [b.text for b in H.blocks("<div class=ad/>x</div><a href=http://h/>y</a>" + "<i t='" * 3)] == ["x", "y"]
     assert H.article_lines(list(H.blocks("<p>a</p><div class=content><p>b</div>")))[0] == ["b"]
 
 
@@ -99,6 +101,12 @@ def test_longest_common_subsequence():
         got = H.shared_lines(x, y)
         rest = iter(y)
         assert len(got) == table[-1][-1] and all(x[i] in rest for i in sorted(got))
+    # very many shared lines, in other order: the same method in little memory
+    rng = random.Random(2)
+    x, y = ([rng.randrange(3000) for _ in range(20_000)] for _ in range(2))
+    got, rest = sorted(H.shared_lines(x, y)), iter(y)
+    assert len(got) == int(H._lengths(x, y)[-1]) and all(x[i] in rest for i in got)
+    assert len(H.shared_lines(list(range(5000)), list(range(4999, -1, -1)))) == 1
 
 
 @pytest.mark.parametrize("parts", [1, 3, 16])
@@ -117,7 +125,22 @@ def test_differencing(spark, parts):
     assert len(found) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in found)
     got = {r["page_id"]: r["text"] for r in found}
     assert got[50] == "alone" and got[51] == "" and got[52] == "menu a"
-    assert sum(got[i] == f"unique {i}" for i in range(1, 40)) >= 38 - (parts == 16) * 3
+    assert sum(got[i] == f"unique {i}" for i in range(1, 40)) >= 38
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_copies_lose_the_same_lines(spark, parts):
+    """Runs of copies under one path and several: every copy is compared with a page that differs."""
+    page = "<div>menu</div><p>same text</p><p>foot</p>"
+    rows = [(i, "http://h.example/news/a", page) for i in range(30)] + [(100 + i, f"http://h.example/news/b{i}", page) for i in range(5)]
+    rows += [(200, "http://h.example/news/c", "<div>menu</div><p>other text</p><p>foot</p>"), (201, "http://h.example/news/aa", "<article>menu</article>")]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["page_id"]: r["text"] for r in page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len({got[i] for i, _, html in rows if html == page}) == 1 and "same text" in got[0]
+    assert got[0] == "same text\nfoot" and got[200] == "other text\nfoot" and got[201] == "menu"
 
 
 # -- URL rules ------------------------------------------------------------------------
