@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,19 +58,17 @@ def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def byte_batches(texts: Iterable[str | None], most: int) -> Iterator[list[str | None]]:
-    """Group texts so that each batch holds about ``most`` characters, one text at least."""
-    batch: list[str | None] = []
-    size = 0
-    for text in texts:
-        n = len(text or "")
-        if batch and size + n > most:
-            yield batch
-            batch, size = [], 0
-        batch.append(text)
-        size += n
-    if batch:
-        yield batch
+def byte_batches(texts: pa.Array, most: int) -> Iterator[list[str | None]]:
+    """Group texts so that each batch holds about ``most`` bytes of UTF-8, one text at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and held + n > most:
+            yield texts.slice(at, i - at).to_pylist()
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield texts.slice(at).to_pylist()
 
 
 class BitmapFilter:

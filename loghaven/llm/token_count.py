@@ -19,19 +19,18 @@ from pyspark.sql import functions as F
 from loghaven.llm.common import byte_batches, ship_package, table
 from loghaven.llm.tokens import default_tokenizer, encoder
 
-#: Characters that are encoded between two looks at the input.
-BATCH_CHARS = 1 << 20
+#: Bytes of text that are encoded together.
+BATCH_BYTES = 1 << 20
 
 
-def length_function(tokenizer: str, batch_chars: int = BATCH_CHARS):
+def length_function(tokenizer: str, batch_bytes: int = BATCH_BYTES):
     """An Arrow function: texts to numbers of tokens."""
 
     @F.arrow_udf("long")
     def lengths(texts: pa.Array) -> pa.Array:
         engine = encoder(tokenizer)
         counts: list[int] = []
-        strings = (s.as_py() for s in texts)
-        for batch in byte_batches(strings, batch_chars):
+        for batch in byte_batches(texts, batch_bytes):
             counts += engine.lengths(batch)
         return pa.array(counts, pa.int64())
 

@@ -122,8 +122,26 @@ class TokenEncoder:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
     def lengths(self, texts: list[str | None]) -> list[int]:
-        """Counts of ids only."""
-        return [len(self.ids(t)) for t in texts]
+        """Counts of ids only: the pieces of all texts are encoded as one batch."""
+        if self._pieces is not None:
+            return [len(found) for found in self._pieces.encode([t or "" for t in texts], num_threads=1)]
+        parts: list[str] = []
+        owners: list[int] = []
+        for i, text in enumerate(texts):
+            for part in (pieces(text) if self._fast is not None else (text,)) if text else ():
+                parts.append(part)
+                owners.append(i)
+        counts = [0] * len(texts)
+        uncompared = [self._is_json and (self._fast is None or _UNCOMPARED.search(texts[i]) is not None) for i in owners]
+        fast = [(i, p) for i, p, slow in zip(owners, parts, uncompared, strict=True) if not slow]
+        slow = [(i, p) for i, p, slow in zip(owners, parts, uncompared, strict=True) if slow]
+        if fast:
+            for (i, _), found in zip(fast, self._fast.encode_batch([p for _, p in fast], num_threads=1, allowed_special="all"), strict=True):
+                counts[i] += len(found)
+        if slow:
+            for (i, _), found in zip(slow, self._library.encode_batch([p for _, p in slow], add_special_tokens=False), strict=True):
+                counts[i] += len(found.ids)
+        return counts
 
 
 _LOADED: dict[str, TokenEncoder] = {}

@@ -3,9 +3,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loghaven.llm import packing, tokens
+from loghaven.llm.common import byte_batches
 from loghaven.llm.token_count import count_tokens
 
 
@@ -50,6 +52,15 @@ def test_counts(docs, no_docs, corpus, engine):
     assert count_tokens(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_batches_are_balanced_by_bytes(engine, corpus, most):
+    texts = pa.array([t for _, t in corpus] + ["漢" * 30, "𠀀 漢", "<|endoftext|>"])
+    batches = list(byte_batches(texts, most))
+    assert [t for b in batches for t in b] == texts.to_pylist() and list(byte_batches(texts.slice(0, 0), most)) == []
+    assert all(len(b) == 1 or sum(len((t or "").encode()) for t in b) <= most for b in batches)
+    assert [n for b in batches for n in engine.lengths(b)] == [len(library(engine, t or "")) for t in texts.to_pylist()]
+
+
 def test_segment_tree_finds_the_tightest():
     rng = random.Random(2)
     for _ in range(20):
