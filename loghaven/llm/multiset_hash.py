@@ -42,6 +42,8 @@ EXACT_LANES = 8
 LIKE_LANES = 96
 SHINGLE = 3
 _SEED = 10
+#: Bytes of text that a task should go through.
+TASK_BYTES = 1 << 27
 
 _OUT = pa.schema(
     [
@@ -204,7 +206,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = rows.withColumn("digest", text_hash("text")).withColumn("row", F.monotonically_increasing_id())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, size // TASK_BYTES)
     order = [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("row")]
     ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     done = materialize(ordered.mapInArrow(_in_order, _DDL), "fingerprints")
