@@ -8,6 +8,9 @@ with their offsets in the original text kept. Units are
 * every window of ``window`` words, since a passage can be copied into the middle of a
   line, where no line digest finds it.
 
+A digest has 128 bits, so that no two texts of any corpus are taken for one. Lines of
+fewer than ``min_words`` words (names, greetings, headings) repeat by chance and stay.
+
 Windows are hashed in two rounds, so that not every window of the corpus is shuffled.
 Round one winnows: of the ``gram``-word hashes in each window the least is an anchor,
 about one per 20 words; equal windows have equal anchors. Round two hashes only windows
@@ -56,18 +59,25 @@ class Words:
         self.n = len(self.starts)
         digest = xxhash.xxh3_64_intdigest
         hashes = np.fromiter((digest(w) for w in self.raw.lower().split()), np.uint64, self.n)
-        #: Hashes of the words first..last (not included), the same wherever they stand.
-        self.runs = Runs(hashes)
+        self._runs = Runs(hashes), Runs(mixed(hashes + np.uint64(2)))
         self.breaks = np.flatnonzero(data == 10)
 
-    def lines(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, start, end) of the lines that have enough words; offsets leave out outer white space."""
+    def runs(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of the words first..last (not included), the same wherever they stand."""
+        return self._runs[0](first, last)
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with 64 bits more, by which text is deleted."""
+        return self._runs[0](first, last), self._runs[1](first, last)
+
+    def lines(self, min_words: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+        """(digests, start, end) of the lines that have enough words; offsets leave out outer white space."""
         edges = np.searchsorted(self.starts, self.breaks)
         first = np.concatenate(([0], edges))
         last = np.concatenate((edges, [self.n]))
         keep = last - first >= min_words
         first, last = first[keep], last[keep]
-        return self.runs(first, last), self.starts[first], self.ends[last - 1]
+        return self.digests(first, last), self.starts[first], self.ends[last - 1]
 
     def anchors(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, word number) of the winnowed grams."""
@@ -92,15 +102,15 @@ def _places(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class _Rows:
     """Columns of hashes, keys and places, given out in batches."""
 
-    NAMES = ("hash", "k_id", "k_text", "place")
-    DDL = "hash long, k_id long, k_text long, place long"
+    NAMES = ("hash", "more", "k_id", "k_text", "place")
+    DDL = "hash long, more long, k_id long, k_text long, place long"
 
     def __init__(self):
         self.parts, self.n = [], 0
 
-    def put(self, k_id: int, k_text: int, hashes: np.ndarray, places: np.ndarray) -> None:
-        if m := len(hashes):
-            self.parts.append((hashes.view(np.int64), np.full(m, k_id, np.int64), np.full(m, k_text, np.int64), places))
+    def put(self, k_id: int, k_text: int, digests: tuple[np.ndarray, np.ndarray], places: np.ndarray) -> None:
+        if m := len(places):
+            self.parts.append((*(x.view(np.int64) for x in digests), np.full(m, k_id, np.int64), np.full(m, k_text, np.int64), places))
             self.n += m
 
     def batch(self, least: int = 1) -> Iterator[pa.RecordBatch]:
@@ -119,7 +129,7 @@ def _units(min_words: int, window: int, gram: int):
             hashes, starts, ends = words.lines(min_words)
             rows.put(k_id, k_text, hashes, _places(starts, ends))
             grams, at = words.anchors(window, gram)
-            rows.put(k_id, k_text, mixed(grams + np.uint64(1)), -1 - at.astype(np.int64))
+            rows.put(k_id, k_text, (mixed(grams + np.uint64(1)), np.zeros(len(grams), np.uint64)), -1 - at.astype(np.int64))
             yield from rows.batch(50_000)
         yield from rows.batch()
 
@@ -138,7 +148,7 @@ def _windows(window: int, gram: int):
                 left[np.searchsorted(words.starts, place >> 32) : np.searchsorted(words.ends, place & 0xFFFFFFFF, "right")] = 0
             sums = np.concatenate(([0], np.cumsum(left)))
             starts = starts[sums[starts + window] > sums[starts]]
-            rows.put(k_id, k_text, words.runs(starts, starts + window), _places(words.starts[starts], words.ends[starts + window - 1]))
+            rows.put(k_id, k_text, words.digests(starts, starts + window), _places(words.starts[starts], words.ends[starts + window - 1]))
             yield from rows.batch(50_000)
         yield from rows.batch()
 
@@ -189,8 +199,8 @@ def _others(found: DataFrame) -> DataFrame:
     shuffles, which adaptive execution can split where one digest has very many rows.
     """
     earliest = F.min(F.struct("k_id", "k_text", "place")).alias("first")
-    repeated = found.groupBy("hash").agg(earliest, F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return found.join(materialize(repeated.select("hash", "first"), "repeated"), "hash").drop("hash")
+    repeated = found.groupBy("hash", "more").agg(earliest, F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return found.join(materialize(repeated.select("hash", "more", "first"), "repeated"), ["hash", "more"]).drop("hash", "more")
 
 
 def _start(place: str) -> Column:
