@@ -96,7 +96,7 @@ def plain_leaks(docs, items):
 
 def test_leaks(spark, docs, corpus, no_docs):
     rng = random.Random(8)
-    items = [(k, sentence(rng, rng.randint(5, 60))) for k in range(30)] + [(100, "too few words"), (101, None), (102, "")]
+    items = [(k, sentence(rng, rng.randint(5, 60))) for k in range(30)] + [(100, "too few words"), (101, None), (102, "")] + [(None, sentence(rng, 20))]
     rows = []
     for k, text in items[:30]:
         words = text.split()
@@ -109,6 +109,7 @@ def test_leaks(spark, docs, corpus, no_docs):
         rows.append((2000 + k, " ".join(words[: int(0.95 * len(words))])))
     rows += [(3000, items[3][1] + " x " + items[3][1] + " " + items[4][1])]
     rows += [(4000 + i, f"{sentence(rng, 8)} {items[5][1]} {sentence(rng, 8)}") for i in range(50)]
+    rows += [(5000, f"{sentence(rng, 8)} {items[-1][1]}")]
     rows += corpus
     table = spark.createDataFrame([(i, t, "h", 1) for i, t in rows], "doc_id long, text string, hash string, n int")
     bench = spark.createDataFrame([(*x, "fp") for x in items], "item_id long, text string, fp string")
@@ -125,6 +126,19 @@ def test_leaks(spark, docs, corpus, no_docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_radius_covers_the_similarity(spark):
+    """Pairs of shingle sets at 0.8: their distances, from random hashes."""
+    rng = np.random.default_rng(4)
+    bits = lambda h: 2 * np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) > len(h)
+    found = []
+    for n in (16, 40, 100, 300):
+        shared = round(n * 1.6 / 1.8)
+        for _ in range(500):
+            hashes = rng.integers(0, 2**64, 2 * n - shared, dtype=np.uint64)
+            found.append(int((bits(hashes[:n]) != bits(hashes[n - shared :])).sum()))
+    assert 8.5 < np.mean(found) < 10.5 and np.mean(np.array(found) <= decontaminate.RADIUS) > 0.995
+
+
 # -- importance resampling ------------------------------------------------------------------
 
 
