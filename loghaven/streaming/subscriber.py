@@ -1,8 +1,14 @@
 """Head-following ingestion: confirmation lag, reorg repair, atomic batches.
 
-The state machine runs on the driver inside ``foreachBatch``; rows are DataFrames. Truth
-is the store's coverage and hashes, never the stream's checkpoint: after a restart the
-engine resumes above the stored head, and a replayed micro-batch finds its heights written.
+A micro-batch of heads is answered in three steps, each a comparison with the chain:
+which announced head is real (``ChainView.newest``), whether the last written block is
+still on the chain (else the store goes back to the fork point), and which blocks are deep
+enough to be written. Nothing but the position and the last written header is kept
+between batches, so there is no state that a reorganisation could leave behind.
+
+The steps run on the driver inside ``foreachBatch``; rows are DataFrames. Truth is the
+store's coverage and hashes, never the stream's checkpoint: after a restart the engine
+resumes above the stored head, and a replayed micro-batch finds its heights written.
 """
 
 from __future__ import annotations
@@ -20,13 +26,12 @@ from loghaven.errors import Fatal
 from loghaven.functions import codec, eventset
 from loghaven.operators import analytics
 from loghaven.sources.provider import Clock, Fetcher, Head, NotFound, Provider, SystemClock
+from loghaven.streaming.chainview import ChainView, first_break
 
 log = logging.getLogger(__name__)
 
 BATCH_BLOCKS = 10
 ATTEMPTS = 3
-BRIDGE_WALK = 64
-FORK_WALK = 1024
 
 
 class CatchupTooLarge(Fatal):
@@ -49,34 +54,19 @@ class Sink(Protocol):
 
 @dataclass
 class Position:
-    """First unwritten height, the lowest that may be written, the tip, and retained heads."""
+    """First unwritten height, the lowest that may be written, and the last written header."""
 
     next: int
     lower_bound: int
-    tip: int
     heads: dict[int, Head] = field(default_factory=dict)
 
-    def truncate_above(self, height: int) -> None:
-        self.heads = {n: h for n, h in self.heads.items() if n <= height}
-        self.tip = height
+    @property
+    def written(self) -> int:
+        return self.next - 1
 
-
-class _Replan(Exception):
-    """The position changed; the next head plans anew."""
-
-
-class _DeepReorg(Exception):
-    def __init__(self, height: int):
-        super().__init__(height)
-        self.height = height
-
-
-class _Gap(Exception):
-    """A header does not name the one below it."""
-
-    def __init__(self, height: int):
-        super().__init__(height)
-        self.height = height
+    def move_above(self, head: Head) -> None:
+        self.next, self.heads = head.number + 1, {head.number: head}
+        self.lower_bound = min(self.lower_bound, self.next)
 
 
 def keep_raw(logs: DataFrame) -> DataFrame:
@@ -86,10 +76,10 @@ def keep_raw(logs: DataFrame) -> DataFrame:
 
 
 class Subscriber:
-    """Consumes heads in order and writes confirmed ranges."""
+    """Consumes heads and writes confirmed ranges."""
 
     def __init__(self, spark: SparkSession, provider: Provider, sink: Sink, *, confirmations: int = 2, max_catchup: int = 50_000, batch_blocks: int = BATCH_BLOCKS, span_cap: int = 10_000, head_timeout: float = 300.0, clock: Clock | None = None):
-        self.spark, self.provider, self.sink, self.clock = spark, provider, sink, clock or SystemClock()
+        self.spark, self.chain, self.sink, self.clock = spark, ChainView(provider), sink, clock or SystemClock()
         self.lag, self.max_catchup, self.batch_blocks, self.head_timeout = confirmations, max_catchup, batch_blocks, head_timeout
         self.fetcher = Fetcher(provider, self.clock, span_cap)
         self.at: Position | None = None
@@ -98,248 +88,150 @@ class Subscriber:
     # -- driving --------------------------------------------------------------
 
     def start(self, first: int) -> None:
-        """Anchor at the block below ``first``."""
-        self.at = at = Position(first, first, 0)
-        if not first:
-            return
-        below = first - 1
-        stored, canonical = self.sink.stored_hash(below), self._canonical(below, f"verify resume point {below}")
-        if stored is None or stored == canonical.hash:
-            at.heads[below], at.tip = canonical, below
-        else:
-            self._recover(below)
-            at.lower_bound = min(at.lower_bound, at.next)
+        """Anchor at the block below ``first``, or below the fork if that block was replaced."""
+        self.at = Position(first, first)
+        if first:
+            self._settle(self._needed(first - 1, "resume"))
 
     def on_heads(self, heads: Iterable[Head]) -> None:
-        """One micro-batch of heads: plan, then ingest what is confirmed."""
-        try:
-            span = self._plan(list(heads))
-            if span:
-                self._ingest(*span)
-        except _Replan:
-            pass  # the next head decides
+        """One micro-batch of heads: check, repair, and write what is confirmed."""
+        heads = [h for h in heads if h.number >= self.at.lower_bound]
+        if heads:
+            self._bounded(max(h.number for h in heads))
+            tip = self.chain.newest(heads)
+            if tip is not None:
+                self._settle(tip)
+                self._ingest(self.at.next, tip.number - self.lag)
         self.last_head = self.clock.now()
 
     def check_silence(self) -> None:
         if self.clock.now() - self.last_head > self.head_timeout:
-            raise HeadsSilent(f"newHeads subscription is silent: no head in {self.head_timeout:g}s (last written block {self.at.next - 1}); restarting to reconnect")
+            raise HeadsSilent(f"newHeads subscription is silent: no head in {self.head_timeout:g}s (last written block {self.at.written}); restarting to reconnect")
 
     def stream(self, heads: DataFrame, checkpoint: str, interval: str = "1 second"):
         """Start the streaming query over a stream of ``schema.HEADS``."""
 
         def on_batch(batch: DataFrame, _: int) -> None:
-            rows = batch.collect()  # heads of one trigger, a few rows; arrival order is the order of rows
+            rows = batch.collect()  # heads of one trigger, a few rows
             self.on_heads(Head(r["number"], bytes(r["hash"]).hex(), bytes(r["parent_hash"]).hex(), r["timestamp"]) for r in rows)
 
         return heads.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
-    # -- planning -------------------------------------------------------------
+    # -- comparing with the chain -------------------------------------------------
 
-    def _canonical(self, number: int, what: str) -> Head:
-        try:
-            return self.provider.head_by_number(number)
-        except Exception as e:
-            raise Fatal(f"{what}: {e}") from e
+    def _needed(self, number: int, purpose: str) -> Head:
+        head = self.chain.head(number, f"{purpose}: read block {number}")
+        if head is None:
+            raise Fatal(f"{purpose}: the chain has no block {number}")
+        return head
 
     def _bounded(self, tip: int) -> None:
         first = self.at.next
         if 0 < self.max_catchup < tip - first + 1:
             raise CatchupTooLarge(f"ingestion catch-up exceeds max_catchup_blocks: need blocks {first}-{tip} ({tip - first + 1} blocks, max {self.max_catchup}); rewind deliberately or raise ethereum.max_catchup_blocks")
 
-    def _plan(self, heads: list[Head]) -> tuple[int, int] | None:
+    def _settle(self, tip: Head) -> None:
+        """Compare the highest written block that ``tip`` can vouch for, and go back if it was replaced."""
         at = self.at
-        if heads:
-            self._bounded(max(h.number for h in heads))
-        for head in heads:
-            self._record(head)
-        self._bounded(at.tip)
-        to = at.tip - self.lag
-        if to < at.next:
-            return None
-        if to not in at.heads:
-            at.heads[to] = self._canonical(to, f"fetch emitted boundary head {to}")
-        return at.next, to
-
-    def _record(self, head: Head) -> None:
-        at, n = self.at, head.number
-        if n < at.lower_bound:
+        height = min(at.written, tip.number)
+        known = at.heads.get(height)
+        expected = known.hash if known else self.sink.stored_hash(height) if height >= 0 else None
+        if expected is None:
+            if height == tip.number == at.written:
+                at.heads = {height: tip}  # nothing is stored here: the tip is the anchor
             return
-        if n < at.next:
-            known = at.heads.get(n)
-            if known is None or known.hash != head.hash:
-                self._written_height(head)
+        if tip.number == height + 1 and tip.parent == expected:
             return
+        real = tip if tip.number == height else self.chain.head(height, f"verify written block {height}")
+        if real is None or real.hash != expected:
+            self._go_back(height)
+        elif height == at.written:
+            at.heads = {height: real}
+
+    def _go_back(self, height: int) -> None:
+        """A written block was replaced: rewind to the highest one that the chain still has."""
         try:
-            stale, replaced = self._reconcile(head)
-        except _DeepReorg as deep:
-            self._recover(deep.height)
-            self._record(head)
-            return
-        if replaced:
-            at.truncate_above(n - 1)
-        if stale:
-            return
-        known = at.heads.get(n)
-        if known is not None and known.hash != head.hash:
-            at.truncate_above(n)
-        at.heads[n] = head
-        at.tip = max(at.tip, n)
-
-    def _reconcile(self, head: Head) -> tuple[bool, bool]:
-        """(stale, replaced): whether the head left the chain, and whether retained ones did."""
-        at, n = self.at, head.number
-        if not n:
-            return False, False
-        bridge = at.next - 1 in at.heads
-        below = max((k for k in at.heads if k < n), default=None)
-        if bridge and below is not None and n - below > BRIDGE_WALK:
-            return self._canonical(n, f"verify far head {n}").hash != head.hash, False
-        expected, replaced = head.parent, False
-        for k in range(n - 1, -1, -1):
-            kept = at.heads.get(k)
-            if kept is not None and kept.hash == expected:
-                break
-            if kept is None and (not bridge or k < at.next):
-                break
-            real = self._canonical(k, f"reconcile reorg at height {k}")
-            if kept is not None and kept.hash != real.hash:
-                if k < at.next:
-                    raise _DeepReorg(k)
-                replaced = True
-            at.heads[k] = real
-            if real.hash != expected:
-                return True, replaced
-            expected = real.parent
-        return False, replaced
-
-    def _written_height(self, head: Head) -> None:
-        """A head at a height that is stored: a stale branch, or a reorg below the lag."""
-        n = head.number
-        stored = self.sink.stored_hash(n)
-        if stored == head.hash or self._canonical(n, f"verify written block {n} after unexpected head").hash == stored:
-            return
-        self._recover(n)
-        self._record(head)
-
-    def _recover(self, height: int) -> None:
-        """Rewind to the highest stored block that the chain still has."""
-        try:
-            ancestor = self._fork_point(height)
+            ancestor = self.chain.fork_point(self.sink, height)
         except Fatal as e:
-            raise Fatal(f"reorg deeper than confirmation lag replaced written block {height}: {e}") from e
-        log.error("reorg deeper than the confirmation lag at block %d: rewinding to %d", height, ancestor.number)
+            raise Fatal(f"written block {height} was replaced, deeper than the confirmation lag: {e}") from e
+        log.error("block %d was replaced below the confirmation lag: rewinding to %d", height, ancestor.number)
         try:
             self.sink.rewind(ancestor.number)
         except Exception as e:
-            raise Fatal(f"rewind to {ancestor.number} after deep reorg: {e}") from e
-        at = self.at
-        at.heads, at.next, at.tip = {ancestor.number: ancestor}, ancestor.number + 1, ancestor.number
-
-    def _fork_point(self, height: int) -> Head:
-        for n in range(height - 1, -1, -1):
-            if height - n > FORK_WALK:
-                raise Fatal(f"no common ancestor within {FORK_WALK} blocks below {height}; verify the chain and rewind manually")
-            stored = self.sink.stored_hash(n)
-            if stored is None:
-                raise Fatal(f"block {n} is not stored, the fork reaches below warehouse coverage; rebuild from the export")
-            real = self._canonical(n, f"fetch canonical block {n}")
-            if real.hash == stored:
-                return real
-        raise Fatal("no common ancestor above genesis")
-
-    # -- ingesting ------------------------------------------------------------
+            raise Fatal(f"rewind to fork point {ancestor.number}: {e}") from e
+        self.at.move_above(ancestor)
+
+    # -- writing ------------------------------------------------------------------
 
     def _ingest(self, low: int, high: int) -> None:
         for first in range(low, high + 1, self.batch_blocks):
-            last = min(high, first + self.batch_blocks - 1)
-            self._batch(first, last)
-            at = self.at
-            at.next = last + 1
-            at.heads = {n: h for n, h in at.heads.items() if n >= last}
-
-    def _metadata(self, low: int, high: int) -> list[Head]:
-        """Headers of the batch, each the child of the one below."""
-        at, found = self.at, []
-        before = at.heads.get(low - 1)
-        for n in range(low, high + 1):
-            if n not in at.heads:
-                at.heads[n] = self._canonical(n, f"fetch block {n} metadata")
-            head = at.heads[n]
-            if before is not None and head.parent != before.hash:
-                raise _Gap(n)
-            found.append(head)
-            before = head
-        return found
-
-    def _batch(self, low: int, high: int) -> None:
-        at = self.at
-        for attempt in range(1, ATTEMPTS + 1):
-            try:
-                headers = self._metadata(low, high)
-            except _Gap as gap:
-                if gap.height == low:
-                    self._boundary_moved(low)
-                if attempt == ATTEMPTS:
-                    raise Fatal(f"batch {low}-{high}: header {gap.height} does not extend its parent after {attempt} attempts; the chain is unstable at the confirmation depth") from None
-                self._forget(gap.height - 1, high)
+            last = self._batch(first, min(high, first + self.batch_blocks - 1))
+            if last is None:
+                return  # the block below moved; the next head decides
+            self.at.move_above(last)
+
+    def _batch(self, low: int, high: int) -> Head | None:
+        """Write one range; its last header, or None if the block below it is no longer its parent."""
+        trouble = ""
+        for _ in range(ATTEMPTS):
+            headers = self.chain.span(low, high, f"read headers of blocks {low}-{high}")
+            gap = first_break(headers, self.at.heads.get(low - 1))
+            if gap == low:
+                self._below_moved(low - 1)
+                return None
+            if gap is not None:
+                trouble = f"header {gap} does not extend its parent"
                 continue
-            try:
-                raw = self.fetcher.fetch(low, high)
-            except Exception as e:
-                raise Fatal(f"fetch ingestion logs for blocks {low}-{high}: {e}") from e
-            if raw is None:
-                raw = self.spark.createDataFrame([], schema.RAW_LOGS)
-            raw = raw.where(F.col("block_number").between(low, high)).persist()
-            try:
-                moved = self._moved(headers, raw)
-                if not moved:
-                    blocks = self.spark.createDataFrame([(h.number, bytearray.fromhex(h.hash), h.timestamp) for h in headers], schema.BLOCKS)
-                    try:
-                        self.sink.write_range(low, high, blocks, keep_raw(raw))
-                    except Exception as e:
-                        raise Fatal(f"write blocks {low}-{high}: {e}") from e
-                    return
-            finally:
-                raw.unpersist()
-            if attempt == ATTEMPTS:
-                raise Fatal(f"blocks {moved} kept changing between log and header fetches for batch {low}-{high} ({attempt} attempts); the chain is unstable at the confirmation depth")
-            for n in moved:
-                at.heads.pop(n, None)
-
-    def _moved(self, headers: list[Head], raw: DataFrame) -> list[int]:
-        """Heights whose logs disagree with their header, or, if none, log-less ones that changed."""
-        rows = [(h.number, bytearray.fromhex(h.hash), h.timestamp) for h in headers]
-        blocks = self.spark.createDataFrame(rows, schema.BLOCKS)
-        wrong = analytics.disagreeing(raw, blocks, F.lit(bytearray(32)))
-        found = sorted(r["block_number"] for r in wrong.collect())
-        if found:
-            return found
-        by_height = {h.number: h for h in headers}
-        empty = sorted(r["number"] for r in analytics.logless(blocks, raw).select("number").collect())
-        return [n for n in empty if self._canonical(n, f"re-read block {n} after the log fetch").hash != by_height[n].hash]
-
-    def _forget(self, low: int, high: int) -> None:
-        for n in range(low, high + 1):
-            self.at.heads.pop(n, None)
-
-    def _boundary_moved(self, low: int) -> None:
-        """The block below the batch is no longer its parent: repair, then plan anew."""
-        below = low - 1
+            moved = self._write(headers)
+            if not moved:
+                return headers[-1]
+            trouble = f"blocks {moved} kept changing between log and header fetches"
+        raise Fatal(f"{trouble} in batch {low}-{high} ({ATTEMPTS} attempts); the chain is unstable at the confirmation depth")
+
+    def _below_moved(self, below: int) -> None:
+        """The block below a batch has another header: go back if it is stored, else take the new one."""
         if self.sink.stored_hash(below) is not None:
-            self._recover(below)
+            self._go_back(below)
         else:
-            anchor = self._canonical(below, f"re-anchor at {below}")
-            self.at.heads = {n: h for n, h in self.at.heads.items() if n < low}
-            self.at.heads[below] = anchor
-            self.at.tip = below
-        raise _Replan
+            self.at.heads = {below: self._needed(below, "anchor anew")}
+
+    def _write(self, headers: list[Head]) -> list[int]:
+        """Fetch the logs and write the range; the heights that changed meanwhile, if any."""
+        low, high = headers[0].number, headers[-1].number
+        try:
+            raw = self.fetcher.fetch(low, high)
+        except Exception as e:
+            raise Fatal(f"fetch ingestion logs for blocks {low}-{high}: {e}") from e
+        if raw is None:
+            raw = self.spark.createDataFrame([], schema.RAW_LOGS)
+        raw = raw.where(F.col("block_number").between(low, high)).persist()
+        try:
+            blocks = self.spark.createDataFrame([(h.number, bytearray.fromhex(h.hash), h.timestamp) for h in headers], schema.BLOCKS)
+            moved = self._moved(headers, blocks, raw)
+            if not moved:
+                try:
+                    self.sink.write_range(low, high, blocks, keep_raw(raw))
+                except Exception as e:
+                    raise Fatal(f"write blocks {low}-{high}: {e}") from e
+            return moved
+        finally:
+            raw.unpersist()
+
+    def _moved(self, headers: list[Head], blocks: DataFrame, raw: DataFrame) -> list[int]:
+        """Heights whose logs disagree with their header, or, if none, log-less ones that changed."""
+        wrong = sorted(r["block_number"] for r in analytics.disagreeing(raw, blocks, F.lit(bytearray(32))).collect())
+        if wrong:
+            return wrong
+        empty = {r["number"] for r in analytics.logless(blocks, raw).select("number").collect()}
+        again = {n: self.chain.head(n, f"read block {n} again after its logs") for n in sorted(empty)}
+        return [h.number for h in headers if h.number in again and (again[h.number] is None or again[h.number].hash != h.hash)]
 
 
 def resolve_start(coverage_head: int | None, start_block: int | None, provider: Provider) -> int:
     """Where ingestion begins: above the stored head, at the configured block, or at the tip."""
     if coverage_head is not None:
         if start_block is not None:
-            raise Fatal(f"ethereum.start_block={start_block} is set but the warehouse already has a cursor at {coverage_head}; unset it (to resume at {coverage_head + 1}) or stop the service and run `rewind -to {start_block - 1}` to re-ingest from it")
+            raise Fatal(f"ethereum.start_block={start_block} is set, but blocks up to {coverage_head} are stored; unset it to resume at {coverage_head + 1}, or stop the service and run `rewind -to {start_block - 1}` to ingest from it again")
         return coverage_head + 1
     return start_block if start_block is not None else provider.block_number()
 
