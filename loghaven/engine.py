@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from loghaven.errors import InvalidParams, LogError, Maintenance, ScopeError, TooManyResults
 from loghaven.functions import codec
+from loghaven.operators.state import Coverage
 from loghaven.operators.store import Warehouse
 from loghaven.plans import criteria as C
 from loghaven.plans.query import chain_order
@@ -20,6 +22,7 @@ class Engine:
 
     def __init__(self, warehouse: Warehouse, *, chain: int = 1, max_results: int = 100_000, query_timeout: float = 60.0):
         self.warehouse, self.chain, self.max_results, self.query_timeout = warehouse, chain, max_results, query_timeout
+        self._reads = ThreadPoolExecutor(8, "state-read")
 
     def _bounded(self, read: Callable[[], object]) -> object:
         """Run a read; its Spark jobs are cancelled when the time is over."""
@@ -56,14 +59,27 @@ class Engine:
 
         return self._bounded(read)
 
+    def _coverage(self) -> Coverage | None:
+        """The covered interval; the state file is read in a thread that is not waited for beyond the time."""
+
+        def read() -> Coverage | None:
+            with self.warehouse.read() as view:
+                return view.coverage
+
+        found = self._reads.submit(read)
+        try:
+            return found.result(self.query_timeout)
+        except TimeoutError:
+            raise LogError(f"the warehouse did not answer within {self.query_timeout:g}s") from None
+
     def block_number(self) -> str:
         try:
-            with self.warehouse.read() as view:
-                if view.coverage is None:
-                    raise ScopeError("warehouse is empty")
-                return hex(view.coverage.head)
+            coverage = self._coverage()
         except Maintenance:
             raise ScopeError(_MAINTENANCE) from None
+        if coverage is None:
+            raise ScopeError("warehouse is empty")
+        return hex(coverage.head)
 
     def chain_id(self) -> str:
         return hex(self.chain)
@@ -71,10 +87,9 @@ class Engine:
     def health(self) -> tuple[int, dict]:
         """HTTP status and body."""
         try:
-            with self.warehouse.read() as view:
-                cov = view.coverage
-        except Maintenance:
-            return 503, {"status": "maintenance"}
+            cov = self._coverage()
+        except Maintenance as e:
+            return 503, {"status": "maintenance", "error": str(e), "hint": "a backfill reloads what is published, or was stopped before it was verified; run its remaining stages and finish"}
         except Exception as e:
             return 503, {"status": "error", "error": str(e)}
         return 200, {"status": "ok", "head": cov.head if cov else 0, "coverage_start": cov.start if cov else 0, "empty": cov is None, "chain_id": self.chain}

@@ -57,7 +57,7 @@ def quantity(number: Column) -> Column:
 
 def part_of(block_number: Column, width: int = PART_BLOCKS) -> Column:
     """Number of the part that holds a block."""
-    return F.floor(block_number / F.lit(width)).cast("long")
+    return F.call_function("div", block_number, F.lit(width)).cast("long")
 
 
 def part_name(number: int | Column) -> str | Column:

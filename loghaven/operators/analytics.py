@@ -44,6 +44,12 @@ def extract(source: DataFrame, last_block: int) -> DataFrame:
     return kept(flat)
 
 
+def source_blocks(blocks: DataFrame, last_block: int) -> DataFrame:
+    """Blocks of a chain source (hex text, timestamps) up to a block, in the exported shape."""
+    bounded = blocks.where(F.col("number") <= last_block)
+    return bounded.select("number", codec.unhexed(F.col("hash")).alias("block_hash"), F.unix_seconds(F.col("timestamp").cast("timestamp")).alias("ts"))
+
+
 def write_export(logs: DataFrame, blocks: DataFrame, path: str, parts: int, width: int = codec.PART_BLOCKS) -> None:
     """Export with one zero-padded directory for each part; a part without rows still gets one."""
     named = logs.withColumn("part", codec.part_name(codec.part_of(F.col("block_number"), width)))
@@ -170,8 +176,3 @@ def file_differences(listed: DataFrame, present: DataFrame) -> DataFrame:
     both = a.join(b, "path", "full_outer")
     problem = F.when(F.col("size").isNull(), "missing").when(F.col("listed_size").isNull(), "unlisted").when((F.col("size") != F.col("listed_size")) | (F.col("md5") != F.col("listed_md5")), "changed")
     return both.select("path", problem.alias("problem")).where(F.col("problem").isNotNull())
-
-
-def windows_of(low: int, high: int, step: int, df: DataFrame) -> DataFrame:
-    """The request windows [from, to] of a range, as rows beside a one-row frame."""
-    return df.select(F.explode(F.sequence(F.lit(low), F.lit(high), F.lit(step))).alias("from_block")).select(F.col("from_block").cast("long").alias("from_block"), F.least(F.col("from_block") + step - 1, F.lit(high)).cast("long").alias("to_block"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import replace
@@ -16,8 +17,10 @@ from loghaven.operators import analytics
 from loghaven.operators.state import Coverage, Generation, State, StateStore
 from loghaven.plans.query import Query, collect_capped, filter_logs
 
-#: Generations of a part above which it is rewritten as one.
+#: Generations of a part above which neighbours of similar size are merged.
 COMPACT_AFTER = 32
+#: A run of neighbours is merged if no one holds more than its share of this many times the mean.
+TIER = 4
 _GAP = "write is not contiguous with warehouse coverage"
 #: Columns that point lookups compare, with bloom filters in the files.
 _BLOOM = {"topic1": 100_000, "topic2": 100_000, "topic3": 100_000, "address": 100_000, "data_word0": 100_000, "hash": 1_000_000}
@@ -61,6 +64,26 @@ class View:
         return bytes(found[0]["hash"]).hex() if found else None
 
 
+def lightest_run(own: list[Generation]) -> list[Generation]:
+    """Neighbouring generations to merge: those of the lowest tier of sizes, two at least.
+
+    Tiers are powers of ``TIER``, so a row is rewritten once for each tier that it climbs
+    and the work of a growing part stays in proportion to its rows and their logarithm.
+    """
+    tiers = [int(math.log(max(1, g.high - g.low + 1), TIER) + 1e-9) for g in own]
+    best: tuple[int, int] | None = None
+    for least in sorted(set(tiers)):
+        start = 0
+        for i in range(len(own) + 1):
+            if i == len(own) or tiers[i] > least:
+                if best is None or i - start > best[1] - best[0]:
+                    best = (start, i)
+                start = i + 1
+        if best[1] - best[0] >= max(2, len(own) // 2):
+            break
+    return own[best[0] : best[1]]
+
+
 class Warehouse:
     """Logs and blocks below one root folder."""
 
@@ -90,6 +113,11 @@ class Warehouse:
     def stored_hash(self, number: int) -> str | None:
         return self.latest().block_hash(number)
 
+    def hashes(self, low: int, high: int) -> dict[int, str]:
+        """Hashes of the stored blocks of a range, by one query."""
+        rows = self.latest().frame("blocks", low, high).where(F.col("number").between(low, high)).select("number", "hash").collect()
+        return {r["number"]: bytes(r["hash"]).hex() for r in rows}
+
     @property
     def coverage(self) -> Coverage | None:
         return self.states.read().coverage
@@ -135,10 +163,11 @@ class Warehouse:
         """The state with a range of one table replaced (files written, not committed)."""
         kept = self._without(kind, getattr(state, kind), low, high) + self._write(kind, rows, low, high)
         for part in {g.part for g in kept}:
-            own = [g for g in kept if g.part == part]
+            own = sorted((g for g in kept if g.part == part), key=lambda g: g.low)
             if len(own) > self.compact_after:
-                a, b = min(g.low for g in own), max(g.high for g in own)
-                kept = [g for g in kept if g.part != part] + self._write(kind, self.frame(kind, own), a, b)
+                run = lightest_run(own)
+                merged = self._write(kind, self.frame(kind, run), run[0].low, run[-1].high)
+                kept = [g for g in kept if g not in run] + merged
         return replace(state, **{kind: tuple(sorted(kept, key=lambda g: (g.low, g.path)))})
 
     def _checked(self, low: int, high: int, blocks: DataFrame, logs: DataFrame) -> None:

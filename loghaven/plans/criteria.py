@@ -74,30 +74,29 @@ def _fixed_hash(value: object) -> str | None:
 
 
 def _bound(value: object) -> Bound | None:
+    """A block number as nodes read it: a tag, or 0x and hex digits without leading zeros."""
     if value is None:
         return None
-    if isinstance(value, str):
-        try:
-            return Tag(value)
-        except ValueError:
-            pass
-        if value[:2] in ("0x", "0X"):
-            body = value[2:]
-            if not body:
-                raise InvalidParams("empty hex string")
-            if len(body) > 1 and body[0] == "0":
-                raise InvalidParams("hex number with leading zero digits")
-            try:
-                number = int(body, 16)
-            except ValueError:
-                raise InvalidParams("invalid hex string") from None
-            if number >= 1 << 63:
-                raise InvalidParams("block number larger than int64")
-            return number
+    text = value if isinstance(value, str) else json.dumps(value)
+    if text in [t.value for t in Tag]:
+        return Tag(text)
+    if not text:
+        raise InvalidParams("empty hex string")
+    if text[:2] not in ("0x", "0X"):
         raise InvalidParams("hex string without 0x prefix")
-    if isinstance(value, int) and not isinstance(value, bool):
-        return value
-    raise InvalidParams("invalid block number")
+    body = text[2:]
+    if not body:
+        raise InvalidParams('hex string "0x"')
+    if len(body) > 1 and body[0] == "0":
+        raise InvalidParams("hex number with leading zero digits")
+    if not set(body) <= set("0123456789abcdefABCDEF"):
+        raise InvalidParams("invalid hex string")
+    number = int(body, 16)
+    if number >= 1 << 64:
+        raise InvalidParams("hex number > 64 bits")
+    if number >= 1 << 63:
+        raise InvalidParams("block number larger than int64")
+    return number
 
 
 def _addresses(raw: object) -> list[str]:

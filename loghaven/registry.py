@@ -90,11 +90,10 @@ def _(logs, blocks):
 
 @_query("owner_scan_three_legs", f"SELECT {_COLUMNS}, leg FROM (SELECT *, 1 AS leg FROM s WHERE topic0 IN ({_ALL}) AND topic1 = '{w(7)}' UNION ALL SELECT *, 2 FROM s WHERE topic0 IN ({_ALL}) AND topic2 = '{w(7)}' UNION ALL SELECT *, 3 FROM s WHERE topic0 IN ({_ALL}) AND topic3 = '{w(7)}')")
 def _(logs, blocks):
-    def leg(i: int) -> DataFrame:
-        topics = [list(SIGNATURES), *([w(7)] if k == i else [] for k in (1, 2, 3))]
-        return filter_logs(logs, blocks, Query(0, HIGH, topics=topics, literal=as_text)).withColumn("leg", F.lit(i))
-
-    return leg(1).unionByName(leg(2)).unionByName(leg(3))
+    # one scan and one join; a log goes to every leg whose position holds the owner
+    legs = [F.when(F.col(f"topic{i}") == w(7), F.lit(i)) for i in (1, 2, 3)]
+    owned = logs.where(F.col("topic0").isin(list(SIGNATURES)) & ((F.col("topic1") == w(7)) | (F.col("topic2") == w(7)) | (F.col("topic3") == w(7))))
+    return log_scan(owned, blocks).select(*_COLUMNS.split(", "), F.explode(F.array_compact(F.array(*legs))).alias("leg"))
 
 
 @_query("topk_chain_order", f"SELECT {_COLUMNS}, CAST(row_number() OVER (ORDER BY block_number, log_index) AS int) AS place FROM (SELECT * FROM s WHERE topic0 = '{TRANSFER}' ORDER BY block_number, log_index LIMIT 101)")
@@ -187,8 +186,9 @@ def _(logs, blocks):
 
 @_query("logs_last_window", "SELECT count(*) AS n_logs FROM s WHERE block_ts > (SELECT max(ts) - 30 * 86400 FROM b)")
 def _(logs, blocks):
-    latest = blocks.agg((F.max("ts") - 30 * 86400).alias("since"))
-    return log_scan(logs, blocks).join(F.broadcast(latest), F.col("block_ts") > F.col("since")).agg(F.count(F.lit(1)).alias("n_logs"))
+    # the bound is read first, so that a plain comparison reaches the scan of the blocks
+    since = (blocks.agg(F.max("ts")).first()[0] or 0) - 30 * 86400
+    return log_scan(logs, blocks.where(F.col("ts") > since)).agg(F.count(F.lit(1)).alias("n_logs"))
 
 
 @_query("monthly_events", "SELECT strftime(to_timestamp(block_ts) AT TIME ZONE 'UTC', '%Y-%m') AS month, topic0, count(*) AS n_logs FROM s GROUP BY ALL")
@@ -305,8 +305,8 @@ def _(logs, blocks):
 
 @_query("confirmed_blocks", "SELECT number, hash FROM b WHERE number <= (SELECT max(number) - 2 FROM b) AND number > (SELECT max(number) - 12 FROM b)")
 def _(logs, blocks):
-    tip = blocks.agg(F.max("number").alias("tip"))
-    return blocks.join(F.broadcast(tip), F.col("number").between(F.col("tip") - 11, F.col("tip") - 2)).select("number", "hash")
+    tip = blocks.agg(F.max("number")).first()[0] or 0
+    return blocks.where(F.col("number").between(tip - 11, tip - 2)).select("number", "hash")
 
 
 def _files(logs: DataFrame) -> DataFrame:

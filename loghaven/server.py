@@ -10,11 +10,13 @@ from loghaven.engine import Engine
 MOST_BODY = 5 * 1024 * 1024
 
 
-def make_server(engine: Engine, host: str = "0.0.0.0", port: int = 8545) -> ThreadingHTTPServer:
+def make_server(engine: Engine, host: str = "0.0.0.0", port: int = 8545, timeout: float = 120.0) -> ThreadingHTTPServer:
     """POST / for JSON-RPC, GET /health; start it with ``serve_forever``."""
 
+    seconds = timeout
+
     class Handler(BaseHTTPRequestHandler):
-        timeout = 120
+        timeout = seconds  # of a read, a write or an idle connection
 
         def _send(self, status: int, body: str) -> None:
             data = body.encode()

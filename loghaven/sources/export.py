@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loghaven import schema
 from loghaven.errors import BackfillError
+from loghaven.functions import codec
 from loghaven.operators import analytics
 
 NAME = "manifest.json"
@@ -78,13 +79,13 @@ def read_manifest(spark: SparkSession, root: str) -> Manifest:
 def list_files(spark: SparkSession, root: str, prefix: str) -> DataFrame:
     """path (relative), size and base64 MD5 of the Parquet files below a prefix.
 
-    Contents are hashed on the executors; a file is one row, so exports keep files at
-    the size that a task can hold.
+    Only files below the prefix are opened. Contents are hashed on the executors; a file
+    is one row, so exports keep files at the size that a task can hold.
     """
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString()
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/{prefix.split('/')[0]}")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/{prefix.rstrip('/')}")
     except AnalysisException:
         return spark.createDataFrame([], "path string, size long, md5 string")
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
@@ -122,6 +123,29 @@ def build_manifest(spark: SparkSession, root: str, export: str, source: str, fir
     return {"export": export, "source": source, "blocks": {"first": first, "last": last, "rows": last - first + 1}, "logs": {"rows": sum(parts.values()), "parts": parts}, "files": files}
 
 
+def write_source(logs: DataFrame, blocks: DataFrame, path: str, last_block: int, width: int = codec.PART_BLOCKS) -> None:
+    """Export of a chain source (hex text) up to a block: stored shapes, parts, block rows."""
+    analytics.write_export(analytics.extract(logs, last_block), analytics.source_blocks(blocks, last_block), path, last_block // width + 1, width)
+
+
+def source_manifest(spark: SparkSession, root: str, logs: DataFrame, blocks: DataFrame, last_block: int, export: str, source: str, width: int = codec.PART_BLOCKS) -> dict:
+    """The manifest of an export with row counts from its source, not from its files."""
+    counts = analytics.part_counts(analytics.extract(logs, last_block), last_block // width + 1, width)
+    found = blocks.where(F.col("number") <= last_block).agg(F.min("number").alias("first"), F.max("number").alias("last"), F.count(F.lit(1)).alias("rows")).first()
+    if found["last"] != last_block:
+        raise BackfillError(f"the source's blocks end at {found['last']}, not at {last_block}")
+    made = build_manifest(spark, root, export, source, found["first"], last_block, {r["part"]: r["n_logs"] for r in counts.collect()})
+    made["blocks"]["rows"] = found["rows"]
+    return made
+
+
+def write_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{NAME}")
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(json.dumps(manifest, indent=1).encode()))
+    out.close()
+
+
 def read_part(spark: SparkSession, root: str, part: int) -> DataFrame:
     """Rows of one part, columns by name, in the stored types."""
     rows = spark.read.schema(schema.EXPORT_LOGS).parquet(f"{root}/logs/part={part:03d}")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import errno
+import functools
 import random
 import re
+import socket
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loghaven import schema
 from loghaven.errors import ProviderError
 from loghaven.functions import eventset
 
@@ -68,7 +72,23 @@ class FrameProvider:
     """An offline provider over a frame of headers and one of raw logs."""
 
     def __init__(self, headers: DataFrame, logs: DataFrame, chain: int = 1, result_cap: int = 0, span_cap: int = 0):
-        self.headers, self.logs, self.chain, self.result_cap, self.span_cap = headers, logs, chain, result_cap, span_cap
+        self._read = lambda: (headers, logs)
+        self.chain, self.result_cap, self.span_cap = chain, result_cap, span_cap
+
+    @classmethod
+    def of_folder(cls, spark: SparkSession, path: str, chain: int = 1, **caps: int) -> FrameProvider:
+        """Frames of a folder that still grows: files are listed anew for every question."""
+        found = cls(None, None, chain, **caps)
+        found._read = lambda: (spark.read.schema(schema.HEADS).parquet(f"{path}/headers"), spark.read.schema(schema.RAW_LOGS).parquet(f"{path}/logs"))
+        return found
+
+    @property
+    def headers(self) -> DataFrame:
+        return self._read()[0]
+
+    @property
+    def logs(self) -> DataFrame:
+        return self._read()[1]
 
     def head_by_number(self, number: int) -> Head:
         found = self.headers.where(F.col("number") == number).limit(1).collect()
@@ -77,6 +97,13 @@ class FrameProvider:
         r = found[0]
         return Head(r["number"], bytes(r["hash"]).hex(), bytes(r["parent_hash"]).hex(), r["timestamp"])
 
+    def heads(self, low: int, high: int) -> list[Head]:
+        """All headers of a range by one query."""
+        rows = self.headers.where(F.col("number").between(low, high)).orderBy("number").collect()
+        if [r["number"] for r in rows] != list(range(low, high + 1)):
+            raise NotFound(f"blocks {low}-{high}: not all found")
+        return [Head(r["number"], bytes(r["hash"]).hex(), bytes(r["parent_hash"]).hex(), r["timestamp"]) for r in rows]
+
     def filter_logs(self, low: int, high: int, topics: tuple[str, ...]) -> DataFrame:
         if self.span_cap and high - low + 1 > self.span_cap:
             raise ProviderError(f"query exceeds max block range {self.span_cap}")
@@ -124,8 +151,23 @@ def is_too_large(error: Exception) -> bool:
     return _says(error, *_RESULTS) or is_span_cap(error)
 
 
+class Cancelled(Exception):
+    """The caller gave up; nothing is tried again."""
+
+
+#: System errors of a network that may come back.
+_TRANSIENT = {errno.ECONNREFUSED, errno.ECONNRESET, errno.ENETUNREACH, errno.EHOSTUNREACH}
+
+
 def is_retryable(error: Exception) -> bool:
-    return isinstance(error, (ConnectionError, TimeoutError)) or _says(error, *_RETRY)
+    """Whether asking again may help; what is not known to pass is permanent."""
+    if isinstance(error, (Cancelled, NotFound)):
+        return False
+    if isinstance(error, socket.gaierror):
+        return error.errno == socket.EAI_AGAIN
+    if isinstance(error, (ConnectionError, TimeoutError)) or (isinstance(error, OSError) and error.errno in _TRANSIENT):
+        return True
+    return _says(error, *_RETRY)
 
 
 def redact(text: str) -> str:
@@ -195,28 +237,37 @@ class Paginator:
         return found, False
 
 
+#: Seconds that the walk of one range may take.
+WALK_DEADLINE = 1800.0
+
+
 class Fetcher:
-    """Raw logs of a range; a block over the cap comes from its receipts instead."""
+    """Raw logs of a range; a block over the cap comes from its receipts instead.
 
-    def __init__(self, provider: Provider, clock: Clock, span_cap: int = 0, topics: tuple[str, ...] = eventset.SIGNATURES):
-        self.provider, self.topics = provider, topics
+    A walk that takes longer than ``deadline`` seconds is an error: part of a range is
+    never given out as the whole.
+    """
+
+    def __init__(self, provider: Provider, clock: Clock, span_cap: int = 0, topics: tuple[str, ...] = eventset.SIGNATURES, deadline: float = WALK_DEADLINE):
+        self.provider, self.topics, self.clock, self.deadline = provider, topics, clock, deadline
         self.pages = Paginator(lambda a, b: provider.filter_logs(a, b, topics), clock, span_cap)
 
     def fetch(self, low: int, high: int) -> DataFrame | None:
         """One frame of all logs (unordered; order comes with the sort on write), or None."""
         legs: list[DataFrame] = []
         todo = [(low, high)]
+        until = self.clock.now() + self.deadline
         while todo:
             a, b = todo.pop()
             try:
-                legs += self.pages.walk(a, b)[0]
+                found, late = self.pages.walk(a, b, lambda: self.clock.now() >= until)
+                if late:
+                    raise ProviderError(f"the logs of blocks {low}-{high} did not arrive within {self.deadline:g}s")
+                legs += found
             except SingleBlockOverflow as e:
                 legs.append(self.dense(e.block))
                 todo += [(x, y) for x, y in ((a, e.block - 1), (e.block + 1, b)) if x <= y]
-        found = None
-        for leg in legs:
-            found = leg if found is None else found.unionByName(leg)
-        return found
+        return functools.reduce(DataFrame.unionByName, legs) if legs else None
 
     def dense(self, block: int) -> DataFrame:
         receipts = self.provider.block_receipts(block)
