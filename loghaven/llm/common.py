@@ -7,7 +7,6 @@ import gc
 import sys
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loghaven.session import materialize, scratch_path, shared_dir, ship_package
 
-__all__ = ["materialize", "scratch_path", "shared_dir", "ship_package", "table", "text_hash", "rows_of", "batch_of", "byte_batches", "BitmapFilter"]
+__all__ = ["materialize", "scratch_path", "shared_dir", "ship_package", "table", "text_hash", "rows_of", "batch_of", "byte_batches", "BitmapFilter", "trim"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +46,11 @@ def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
 def release_memory() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back after a batch of a function whose end is not seen."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         ctypes.CDLL(None).malloc_trim(0)
@@ -74,31 +78,28 @@ def byte_batches(texts: pa.Array, most: int) -> Iterator[list[str | None]]:
 class BitmapFilter:
     """A fixed-size bitmap of hashed keys that spares rows a shuffle.
 
-    It says no only for keys that were not put in; at most ``MOST_BITS`` bits (16 MB)
-    are broadcast, whatever the number of keys. With more keys it lets more rows pass,
-    which costs a larger shuffle and changes no result.
+    It says no only for keys that were not put in; at most ``MOST_BITS`` bits (16 MB, as
+    two million rows of 64 bits) are broadcast, whatever the number of keys. With more
+    keys it lets more rows pass, which costs a larger shuffle and changes no result. The
+    look-up is a broadcast join, so no Python worker sees the rows.
     """
 
     MOST_BITS = 1 << 27
 
     def __init__(self, keys: DataFrame, hashed: Column):
-        spark = keys.sparkSession
         n = max(1, keys.count())
         self.bits = min(self.MOST_BITS, 1 << max(10, (16 * n - 1).bit_length()))
-        spot = F.pmod(hashed, F.lit(self.bits))
-        words = keys.select(spot.alias("spot")).selectExpr("shiftright(spot, 6) AS word", "shiftleft(1L, CAST(spot % 64 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-        bitmap = np.zeros(self.bits >> 6, np.int64)
-        found = words.toArrow()  # columns, not rows: 32 MB at the most
-        bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
-        self.bitmap = spark.sparkContext.broadcast(bitmap.view(np.uint64))
-
-    def may_hold(self, hashed: Column) -> Column:
-        """Whether a key with this hash may have been put in."""
-        bits, bitmap = self.bits, self.bitmap
-
-        @F.arrow_udf("boolean")
-        def looked_up(hashes: pa.Array) -> pa.Array:
-            spots = np.mod(hashes.to_numpy(zero_copy_only=False), bits)
-            return pa.array((bitmap.value[spots >> 6] >> (spots & 63).astype(np.uint64)) & np.uint64(1) == 1, pa.bool_())
-
-        return looked_up(hashed)
+        spots = keys.select(F.pmod(hashed, F.lit(self.bits)).alias("spot"))
+        words = spots.selectExpr("shiftright(spot, 6) AS bitmap_word", "shiftleft(1L, CAST(spot % 64 AS int)) AS bit")
+        self.words = materialize(words.groupBy("bitmap_word").agg(F.bit_or("bit").alias("bitmap_bits")), "bitmap")
+
+    def marked(self, rows: DataFrame, hashed: Column, name: str) -> DataFrame:
+        """Rows with a column that says whether a key with this hash may have been put in."""
+        placed = rows.withColumn("bitmap_spot", F.pmod(hashed, F.lit(self.bits)))
+        joined = placed.join(F.broadcast(self.words), F.shiftright("bitmap_spot", 6) == F.col("bitmap_word"), "left")
+        held = F.expr("shiftrightunsigned(bitmap_bits, CAST(bitmap_spot % 64 AS int)) & 1L") == 1
+        return joined.withColumn(name, F.coalesce(held, F.lit(False))).drop("bitmap_spot", "bitmap_word", "bitmap_bits")
+
+    def kept(self, rows: DataFrame, hashed: Column) -> DataFrame:
+        """The rows that may have a key."""
+        return self.marked(rows, hashed, "bitmap_may").where("bitmap_may").drop("bitmap_may")

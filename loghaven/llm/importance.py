@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loghaven.llm.common import materialize, release_memory, ship_package, table
+from loghaven.llm.common import materialize, release_memory, ship_package, table, trim
 from loghaven.llm.rolling import Runs, mixed
 
 LABELS = 50_000
@@ -52,7 +52,7 @@ SMOOTHING = 8.0
 LENGTH = 400
 SEED = 6
 #: Bytes of text that are hashed at once.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 
 _SIZE = 1 << TABLE_BITS
 _KINDS = 1 + len(PREFIXES)
@@ -204,7 +204,9 @@ def weight_column(spark: SparkSession, ratios: np.ndarray, text: Column) -> Colu
 
     @F.arrow_udf("double")
     def weights(texts: pa.Array) -> pa.Array:
-        return pa.array(log_weights(texts, shared.value), pa.float64())
+        found = pa.array(log_weights(texts, shared.value), pa.float64())
+        trim()
+        return found
 
     return weights(F.coalesce(text, F.lit("")))
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loghaven.llm.common import BitmapFilter, materialize, rows_of, ship_package, table
+from loghaven.llm.common import BitmapFilter, materialize, rows_of, ship_package, table, trim
 from loghaven.llm.rolling import Runs, mixed
 
 MIN_WORDS = 5
@@ -186,6 +186,7 @@ def _cleaned(texts: pa.Array, spans: pa.Array) -> pa.Array:
             continue
         new, removed = cut_spans(text.as_py(), [(s["start"], s["end"], s["first_id"]) for s in found.as_py()])
         out.append({"text": new, "removed": removed})
+    trim()
     return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc_id", pa.int64())])))]))
 
 
@@ -227,7 +228,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gone = lines.groupBy("k_id", "k_text").agg(F.collect_set("place").alias("gone"))
     asked = materialize(anchors.join(gone, ["k_id", "k_text"], "left"), "asked")
     key = F.xxhash64("k_id", "k_text")
-    near = keyed.where(BitmapFilter(asked, key).may_hold(key)).join(asked, ["k_id", "k_text"])
+    near = BitmapFilter(asked, key).kept(keyed, key).join(asked, ["k_id", "k_text"])
     windows = materialize(near.mapInArrow(_windows(window, gram), _Rows.DDL), "windows")
     passages = _others(windows).where(later)
     # the first occurrence of a window that overlaps itself in one document stays whole
@@ -238,8 +239,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     first_id = F.when(F.col("first.k_id") != _NULL_ID, F.col("first.k_id"))
     spans = lines.unionByName(passages).groupBy("k_id", "k_text").agg(F.collect_set(F.struct("start", "end", first_id.alias("first_id"))).alias("spans"))
     spans = materialize(spans, "spans")
-    maybe = BitmapFilter(spans, key).may_hold(key)
-    marked = whole.withColumn("maybe", maybe)
+    marked = BitmapFilter(spans, key).marked(whole, key, "maybe")
     none = F.array().cast(_REMOVED)
     clean = marked.where(~F.col("maybe")).select("row", "text", none.alias("removed"))
     asked_for = marked.where("maybe").join(spans, ["k_id", "k_text"], "left")

@@ -149,7 +149,7 @@ class Texts:
         """(digest, shingles) of the points asked for, and perhaps of some more."""
         asked = materialize(digests.join(self.points.select("digest", "key"), "digest").select("key.k_id", "key.k_text"), "asked")
         key = F.xxhash64("k_id", "k_text")
-        return materialize(self.rows.where(BitmapFilter(asked, key).may_hold(key)).select("text").mapInArrow(_sets, _SETS_DDL), "sets")
+        return materialize(BitmapFilter(asked, key).kept(self.rows, key).select("text").mapInArrow(_sets, _SETS_DDL), "sets")
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) of digests whose sets reach the similarity."""
@@ -236,6 +236,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     gone = materialize(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("k_id"), "k_text").distinct(), "gone")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("k_id"), text_hash(text_col).alias("k_text"))
     key = F.xxhash64("k_id", "k_text")
-    marked = whole.withColumn("maybe", BitmapFilter(gone, key).may_hold(key))
+    marked = BitmapFilter(gone, key).marked(whole, key, "maybe")
     asked = marked.where("maybe").join(gone, ["k_id", "k_text"], "left_anti")
     return marked.where(~F.col("maybe")).select("row.*").unionByName(asked.select("row.*"))

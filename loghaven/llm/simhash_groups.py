@@ -296,7 +296,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     groups = near_groups(docs, id_col=id_col, text_col=text_col, distance=distance)
     gone = materialize(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("k_id")).distinct(), "gone")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("k_id"))
-    marked = whole.withColumn("maybe", BitmapFilter(gone, F.xxhash64("k_id")).may_hold(F.xxhash64("k_id")))
+    marked = BitmapFilter(gone, F.xxhash64("k_id")).marked(whole, F.xxhash64("k_id"), "maybe")
     asked = marked.where("maybe").join(gone, "k_id", "left_anti")
     return marked.where(~F.col("maybe")).select("row.*").unionByName(asked.select("row.*"))
 

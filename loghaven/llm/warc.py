@@ -122,7 +122,7 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     large = rows.where(F.col("size") >= least_bytes).select("digest", F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.coalesce("url", F.lit("-")).alias("url"))).alias("place"))
     firsts = large.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("first").isNotNull())
     firsts = materialize(firsts.select("digest", "first"), "firsts")
-    marked = rows.withColumn("shared", BitmapFilter(firsts, F.xxhash64("digest")).may_hold(F.xxhash64("digest")))
+    marked = BitmapFilter(firsts, F.xxhash64("digest")).marked(rows, F.xxhash64("digest"), "shared")
     record_id = name(F.col("page_id"), F.col("url")).alias("record_id")
     single = marked.where(~F.col("shared")).select(record_id, "page_id", "url", "html", "digest", F.lit(None).cast("string").alias("refers_id"))
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
