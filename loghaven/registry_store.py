@@ -117,13 +117,18 @@ class Rig:
 
 
 @functools.lru_cache(maxsize=8)
-def _rig(spark: SparkSession, app: str, sf_dir: str) -> Rig:
+def _made(spark: SparkSession, app: str, sf_dir: str) -> Rig:
     return Rig(spark, sf_dir)
 
 
+def rig(spark: SparkSession, sf_dir: str) -> Rig:
+    """The one rig of a session and a folder."""
+    return _made(spark, spark.sparkContext.applicationId, sf_dir)
+
+
 def _query(name: str, sql: str, cte: bool = True):
     def put(f: Callable[[Rig], DataFrame]):
-        _Q[name] = lambda spark, sf_dir: f(_rig(spark, spark.sparkContext.applicationId, sf_dir))
+        _Q[name] = lambda spark, sf_dir: f(rig(spark, sf_dir))
         _SQL[name] = f"{_CTE}, {_KEPT} {sql}" if cte else sql
         return f
 

@@ -6,14 +6,14 @@ import shutil
 
 import pytest
 
-from loghaven import schema
+from loghaven import cli, schema
 from loghaven.errors import BackfillError, CoverageGap, Maintenance, WriterBusy
 from loghaven.functions import eventset as E
 from loghaven.operators.backfill import Backfill
 from loghaven.operators.state import Coverage
 from loghaven.operators.store import Warehouse
 from loghaven.plans.query import Query
-from loghaven.sources.export import build_manifest
+from loghaven.sources.export import build_manifest, list_files
 from tests.helpers import a, b, blocks_frame, h, logs_frame
 
 WIDTH = 100
@@ -129,6 +129,30 @@ def test_rows_outside_and_missing_folder(spark, w, export):
         load.run("finish")
 
 
+def test_only_files_of_a_part_are_opened(spark, export):
+    """A file of another part that cannot be read does no harm."""
+    other = files(export, "001")[0]
+    os.remove(other)
+    os.symlink("/nowhere", other)
+    found = list_files(spark, export, "logs/part=000/").collect()
+    assert found and all(r["path"].startswith("logs/part=000/") for r in found)
+    assert list_files(spark, export, "logs/part=007/").collect() == []
+
+
+def test_source_to_export_to_manifest(spark, tmp_path):
+    ox = lambda v: "0x" + v
+    logs = [(n, 0, 0, ox(h(n)), ox(a(1)), None if n % 2 else "0x01", [ox(E.URI), ox(h(1))]) for n in range(12)] + [(3, 1, 0, ox(h(3)), ox(a(1)), "0x", [ox(E.URI)])]
+    spark.createDataFrame(logs, "block_number long, log_index long, transaction_index long, transaction_hash string, address string, data string, topics array<string>").write.parquet(f"{tmp_path}/s/logs")
+    spark.sql("SELECT id AS number, concat('0x', lpad(hex(id), 64, '0')) AS hash, timestamp_seconds(1000 + id) AS timestamp FROM range(15)").write.parquet(f"{tmp_path}/s/blocks")
+    assert cli.main(["export", "--source", f"{tmp_path}/s", "--dir", f"{tmp_path}/e", "--end", "9"]) == 0
+    assert cli.main(["manifest", "--source", f"{tmp_path}/s", "--dir", f"{tmp_path}/e", "--end", "9"]) == 0
+    assert cli.main(["manifest", "--source", f"{tmp_path}/s", "--dir", f"{tmp_path}/e", "--end", "99"]) == 1
+    w = Warehouse(spark, str(tmp_path / "w2"))
+    Backfill(w, f"{tmp_path}/e").run()
+    rows = w.latest().filter_logs(Query(0, 9))
+    assert [r["block_number"] for r in rows] == list(range(10)) and rows[4]["block_ts"] == 1004 and bytes(rows[5]["data"]) == b""
+
+
 @pytest.mark.parametrize(
     ("change", "text"),
     [

@@ -18,6 +18,16 @@ BAD = [
     ({"address": [1]}, "non-string address at index 0"),
     ({"address": [None, P]}, "non-string address at index 0"),
     ({"address": {}}, "invalid addresses in query"),
+    ({"fromBlock": 5}, "hex string without 0x prefix"),
+    ({"fromBlock": "5"}, "hex string without 0x prefix"),
+    ({"fromBlock": ""}, "empty hex string"),
+    ({"fromBlock": "0x"}, 'hex string "0x"'),
+    ({"fromBlock": "0x1_0"}, "invalid hex string"),
+    ({"fromBlock": "0x+1"}, "invalid hex string"),
+    ({"toBlock": "0x-5"}, "invalid hex string"),
+    ({"toBlock": "0x010"}, "hex number with leading zero digits"),
+    ({"toBlock": "0x8000000000000000"}, "block number larger than int64"),
+    ({"toBlock": "0x10000000000000000"}, "hex number > 64 bits"),
     ({"erc1155Id": "0x2a"}, "hex string has length 2, want 64 for common.Hash"),
 ]
 

@@ -2,6 +2,7 @@
 
 import json
 import threading
+import time
 import urllib.request
 
 import pytest
@@ -84,7 +85,8 @@ def test_the_rest(wire):
     w.set_maintenance(True)
     try:
         assert call(url, "eth_blockNumber")["error"]["message"] == "out of warehouse scope: warehouse is under maintenance (a backfill is reloading it); ask a node"
-        assert Engine(w).health()[0] == 503
+        status, body = Engine(w).health()
+        assert status == 503 and body["status"] == "maintenance" and "maintenance" in body["error"] and "backfill" in body["hint"]
         assert logs(url, ["0x" + h(1)])["error"]["message"].endswith("is not a warehouse event signature")  # before any state
     finally:
         w.set_maintenance(False)
@@ -112,3 +114,21 @@ def test_config(env, text):
     assert config.load(env={config.PREFIX + k: v for k, v in good.items()}).rpc_max_results == 100_000
     with pytest.raises(ValueError, match=text):
         config.load(env={config.PREFIX + k: v for k, v in (good | env).items()})
+
+
+def test_durations_and_env_files(tmp_path):
+    (tmp_path / ".env").write_text("# a comment\nLOGHAVEN_WAREHOUSE_ROOT='/w'\nexport LOGHAVEN_RPC_QUERY_TIMEOUT=90s\nLOGHAVEN_DEBUG=true # yes\n")
+    (tmp_path / ".env.local").write_text("LOGHAVEN_RPC_QUERY_TIMEOUT=1h30m\nLOGHAVEN_SERVER_IDLE_TIMEOUT=250ms\n")
+    c = config.load(env={"LOGHAVEN_ETHEREUM_INGESTION_ENABLED": "false", "LOGHAVEN_RPC_QUERY_TIMEOUT": "1"}, env_dir=str(tmp_path))
+    assert (c.warehouse_root, c.rpc_query_timeout, c.server_idle_timeout, c.debug) == ("/w", 5400.0, 0.25, True)
+    for bad in ("5x", "s", "1h 5m"):
+        with pytest.raises(ValueError, match="invalid duration"):
+            config.seconds(bad)
+
+
+def test_slow_state_reads_end(spark, tmp_path):
+    engine = Engine(Warehouse(spark, str(tmp_path)), query_timeout=0.2)
+    engine.warehouse.read = lambda: time.sleep(2)
+    began = time.monotonic()
+    assert engine.health() == (503, {"status": "error", "error": "the warehouse did not answer within 0.2s"})
+    assert engine.call({"id": 1, "method": "eth_blockNumber"})["error"]["message"].startswith("the warehouse did not answer") and time.monotonic() - began < 1.5

@@ -4,7 +4,7 @@ import threading
 import pytest
 
 from loghaven.errors import CoverageGap, Maintenance, StoreError, TooManyResults, WriterBusy
-from loghaven.operators.state import Coverage
+from loghaven.operators.state import Coverage, Generation, State
 from loghaven.operators.store import Warehouse
 from loghaven.plans.query import Query
 from tests.helpers import a, b, blocks_frame, h, logs_frame, raw_log
@@ -77,6 +77,27 @@ def test_parts_and_straddling_generations(spark, w):
     assert {g.part for g in w.states.read().blocks} == {0}
 
 
+def test_merges_rewrite_little(spark, tmp_path, monkeypatch):
+    """Rows rewritten per block stay logarithmic while a part fills."""
+    w = Warehouse(spark, str(tmp_path), compact_after=16)
+    written = []
+
+    def count(kind, rows, low, high):
+        if kind == "blocks":
+            written.append(high - low + 1)
+        return [Generation(f"g{len(written)}", 0, low, high, 1)]
+
+    monkeypatch.setattr(w, "_write", count)
+    monkeypatch.setattr(w, "frame", lambda kind, generations: None)
+    state = State()
+    for n in range(1000):
+        state = w.replaced(state, "blocks", None, n, n)
+        assert len(state.blocks) <= 17
+    assert [(x.low, y.low) for x, y in zip(state.blocks, state.blocks[1:], strict=False) if x.high + 1 != y.low] == []
+    assert state.blocks[0].low == 0 and state.blocks[-1].high == 999
+    assert sum(written) < 1000 * 6  # the whole part, each time there are 17, would be some 31,000
+
+
 def test_compaction_and_vacuum(spark, tmp_path):
     w = Warehouse(spark, str(tmp_path), compact_after=3)
     for n in range(1, 7):
