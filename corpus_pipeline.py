@@ -6,14 +6,24 @@ stages but the last return the columns of ``documents``.
 
 1. ``quality``: importance resampling draws the documents to keep.
 2. ``near_copies``: of each group of documents linked by a similarity of 0.8 or more
-   (Jaccard, sets of five-word shingles) the one with the least id stays.
+   (Jaccard, sets of five-word shingles) the one with the least id stays. Candidates come
+   from the SimHash tree and, beyond its radius, from minimum hashes.
 3. ``passages``: repeated lines and passages go, the earliest stays; a document of which
    nothing is left goes; ``n_chars`` follows the text.
 4. ``leaks``: documents that hold a benchmark item go.
 5. ``pack``: what is left is packed into sequences of 2048 ids.
 
-No SQL twin: tokens, sampling noise and set similarity search are beyond SQL; each stage is
-tested against a brute-force version in ``tests/llm``.
+Defined results: a null or empty text has weight 1 in ``quality``; all such texts are one
+group in ``near_copies``, of which the least id stays, and are packed as one end id. Ties:
+of rows that repeat the least id of a group all stay, in ``quality`` all values equal to the
+last one drawn. Rows without an id stay in every stage that compares ids. Rows that are
+repeated with their id are one occurrence in ``passages``. An empty ``documents`` gives an
+empty result, an empty ``labels`` rejects nothing, an empty ``benchmark`` finds no leak.
+Extra columns go through all stages but the last, whatever their names.
+
+No SQL twin: tokens, sampling noise and set similarity search are beyond SQL. ``tests/llm``
+compares ``quality``, ``near_copies``, ``leaks`` and ``pack`` with plain Python versions
+and ``passages`` with one that looks for repeats among all lines and windows.
 """
 
 from __future__ import annotations
