@@ -39,6 +39,14 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _AFTER = b"\xff"
 
 
+def literal_rows(spark: SparkSession, rows: list[list[Column]], names: list[str], ddl: str) -> DataFrame:
+    """A small frame of literals: no Python worker makes its rows."""
+    kinds = [f"`{n}`: {kind.strip().split(' ', 1)[1]}" for n, kind in zip(names, ddl.split(","), strict=True)]
+    whole = f"array<struct<{', '.join(kinds)}>>"
+    found = F.array(*[F.struct(*[v.alias(n) for v, n in zip(row, names, strict=True)]) for row in rows]).cast(whole)
+    return spark.range(1).select(F.explode(found).alias("r")).select("r.*")
+
+
 def host_of(url: Column) -> Column:
     """The host by the rule of the operator: empty where there is none."""
     at = F.instr(url, "://")
@@ -112,17 +120,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     probes = materialize(probes, "probes")
     sizes = {r["range"]: -(-r["count"] // SWEEP_ROWS) for r in probes.groupBy("range").count().collect()}
     spread = max(1, spark.sparkContext.defaultParallelism // max(1, len(sizes)))
-    tasks = spark.createDataFrame([(k, max(n, spread)) for k, n in sizes.items()], "range int, tasks long")
+    tasks = literal_rows(spark, [[F.lit(k), F.lit(max(n, spread))] for k, n in sizes.items()], ["range", "tasks"], "range int, tasks long")
 
     # each range gets its own events and, before them, the rule that is on top at its lower bound
     own = events.withColumn("range", _range_of(F.col("key"), bounds))
     last = {r["range"]: r["top"] for r in own.groupBy("range").agg(F.max_by(F.struct("top"), "key").alias("top")).select("range", "top.top").collect()}
-    entering, top = [], None
+    ranged = own.select("range", "key", F.lit(0).alias("kind"), "top")
+    kind = own.schema["top"].dataType
+    top = None
     for i, bound in enumerate(bounds, 1):
         top = last.get(i - 1, top)
-        entering.append((i, bytearray(bound), -1, top))
-    ranged = own.select("range", "key", F.lit(0).alias("kind"), "top")
-    ranged = ranged.unionByName(spark.createDataFrame(entering, ranged.schema))
+        on_top = F.struct(*[F.lit(v).alias(f) for f, v in top.asDict().items()]) if top else F.lit(None)
+        ranged = ranged.unionByName(spark.range(1).select(F.lit(i).alias("range"), F.lit(bytearray(bound)).alias("key"), F.lit(-1).alias("kind"), on_top.cast(kind).alias("top")))
     ranged = ranged.join(F.broadcast(tasks), "range").select("range", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), "key", "kind", F.struct("top").alias("event"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))
     dealt = probes.join(F.broadcast(tasks), "range").select("range", F.pmod(F.xxhash64("key"), F.col("tasks")).alias("task"), "key", F.lit(1).alias("kind"), F.lit(None).cast(ranged.schema["event"].dataType).alias("event"), "host", "path")
     sweep = W.partitionBy("range", "task").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -140,7 +149,7 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages."""
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = literal_rows(spark, [[F.lit(v) for v in rule] for rule in RULES], ["host", "path", "verdict"], "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 

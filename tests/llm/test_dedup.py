@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -144,6 +145,61 @@ def test_repeats_go_and_nothing_else(docs, no_docs, corpus):
     assert set(by_id) >= {301, 302, 303} and all(len(r["text"].split()) == 21 for i, r in by_id.items() if i in (301, 302, 303))
 
 
+def plain_spans(rows):
+    """(start, end) in code points of what goes from each row, by looking at every line and window."""
+    docs = {}
+    for i, text in {(i, t) for i, t in rows if t}:
+        raw = text.encode()
+        digest = xxhash.xxh64_intdigest(raw, 42)
+        words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(rb"[^\t\n\x0b\x0c\r ]+", raw)]
+        docs[i, text] = ((i is not None, i or 0, digest - (digest >> 63 << 64)), raw, words)
+
+    def others(units):
+        """Occurrences of each unit but the earliest, with the earliest."""
+        by = defaultdict(list)
+        for doc, unit, start, end in units:
+            by[unit].append((docs[doc][0], start, end, doc))
+        return [(*o, min(found)) for found in by.values() for o in found if o != min(found)]
+
+    lines = []
+    for doc, (_, raw, words) in docs.items():
+        breaks = [-1, *(k for k, b in enumerate(raw) if b == 10), len(raw)]
+        for a, b in zip(breaks, breaks[1:], strict=False):
+            inside = [w for w in words if a < w[0] and w[1] <= b]
+            if len(inside) >= 5:
+                lines.append((doc, (b"line", *(w[2] for w in inside)), inside[0][0], inside[-1][1]))
+    spans = defaultdict(list)
+    for _, start, end, doc, _ in others(lines):
+        spans[doc].append((start, end))
+    windows = []
+    for doc, (_, _, words) in docs.items():
+        gone = [any(a <= s and e <= b for a, b in spans[doc]) for s, e, _ in words]
+        for k in range(len(words) - 49):
+            if not all(gone[k : k + 50]):
+                windows.append((doc, tuple(w[2] for w in words[k : k + 50]), words[k][0], words[k + 49][1]))
+    for _, start, end, doc, first in others(windows):
+        start = max(start, first[2]) if first[3] == doc else start
+        spans[doc] += [(start, end)] * (start < end)
+    found = {}
+    for doc, (_, raw, _) in docs.items():
+        merged = []
+        for start, end in sorted(spans[doc]):
+            if merged and start <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], end)
+            else:
+                merged.append([start, end])
+        found[doc] = [(len(raw[:a].decode()), len(raw[:b].decode())) for a, b in merged]
+    return found
+
+
+def test_repeats_equal_a_plain_version(docs, corpus):
+    want = plain_spans(corpus)
+    assert sum(map(bool, want.values())) > 10
+    found = line_dedup.remove_repeats(docs).select("row.doc_id", "row.text", "removed").collect()
+    for doc_id, text, removed in found:
+        assert [(s["start"], s["end"]) for s in removed] == want.get((doc_id, text), []), doc_id
+
+
 def test_windows_are_found_at_any_place():
     rng = random.Random(9)
     passage = [f"w{rng.randint(0, 999)}" for _ in range(50)]

@@ -172,6 +172,14 @@ def test_url_rules(spark, n):
     assert got == {i: judge(u, rules) for i, u in enumerate(urls)}
 
 
+def test_control_tables_are_literals(spark, tmp_path):
+    spark.createDataFrame([(1, "http://a.example.net/en/"), (2, None)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = url_rules.op5_url_filters(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan and "LogicalRDD" not in plan
+    assert {r["page_id"]: r["rule"] for r in found.collect()} == {1: "example.net/en/", 2: None}
+
+
 def test_url_edges(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.net/"), (None, None)], "page_id long, url string")

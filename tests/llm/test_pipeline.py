@@ -32,3 +32,20 @@ def test_each_stage_takes_effect(spark, docs, corpus, tmp_path):
     assert 30 in ids["passages"] and 30 not in ids["leaks"] and {10, 11} <= ids["leaks"]
     assert ids["pack"] == ids["leaks"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["pack"])
+
+
+def test_empty_tables_and_odd_rows(spark, tmp_path):
+    """No documents, no labels, no items; then nulls, empty texts, ties and repeated rows."""
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (None, "one two three four five six", "en", None, 27), (3, "a b c d e f g", None, "s", 13), (3, "a b c d e f g", None, "s", 13), (4, "a b c d e f g", "en", "s", 13)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, given in (("none", []), ("odd", rows)):
+        now = spark.createDataFrame(given, ddl)
+        for stage, f in corpus_pipeline.STAGES:
+            out = f(spark, now, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{name}-{stage}")
+            now = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+        ids = sorted((r["doc_id"] or 0) for r in now.collect())
+        # 1 and 2 have no words and are one group; 3 stands twice and is packed twice; 4 is a copy
+        assert ids == ([] if name == "none" else [0, 1, 3, 3])
