@@ -10,9 +10,11 @@ Candidates come from two indexes and are then verified on the whole sets, in who
 
 Documents of one set are one point, named by a 64-bit digest, so copies never form pairs.
 A bucket of a band is read in two rounds, since a group of k near copies has k * k pairs.
-Round one compares each point with two chosen points of its bucket. Round two compares,
-in each bucket, all pairs that round one did not bring into one component. The links are
-joined to components. All groups are aggregated before the shuffle or split by equi-joins.
+Round one compares each point with two chosen points of its bucket. Round two takes the
+points that share a bucket with a point of another component and finds all similar pairs
+among them by prefix lists: rare shingles first, two similar sets share one of their
+first. The links are joined to components. All groups are aggregated before the shuffle or
+split by equi-joins.
 
 Only a sketch of each document is kept; the sets of the documents that are asked for are
 computed again from their texts, so no shingles of the others are written or shuffled.
@@ -194,13 +196,36 @@ def with_chosen(shared: DataFrame) -> DataFrame:
     return _pairs(shared.join(chosen, "token").select(F.col("digest").alias("u"), "n", F.col("c.digest").alias("v"), F.col("c.n").alias("m")))
 
 
-def across(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of points of one bucket that lie in different components.
+def undecided(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Digests of the points that share a bucket with a point of another component."""
+    parted = shared.join(roots, "digest", "left").select("token", F.coalesce("root", "digest").alias("root"), "digest")
+    parted = materialize(parted, "parted")
+    several = parted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") < F.col("b"))
+    return materialize(parted.join(several.select("token"), "token").select("digest").distinct(), "undecided")
+
+
+def prefix_lists(sets: DataFrame) -> DataFrame:
+    """(token, digest, n): the shingles of each set's prefix that other sets have too.
+
+    Shingles are brought into one order, rare ones first; of two sets of similarity t the
+    first ``n - ceil(t * n) + 1`` shingles of each share one. A copy with many words of its
+    own has none but its own there, so families of distant copies make no pairs.
+    """
+    each = sets.select("digest", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("count"))
+    listed = each.join(counts, "shingle").groupBy("digest", "n").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("order"))
+    first = F.slice("order", 1, F.col("n") - F.ceil(F.lit(PART) * F.col("n") / F.lit(WHOLE)).cast("int") + 1)
+    lists = listed.select("digest", "n", F.explode(first).alias("s")).where(F.col("s.count") > 1)
+    return materialize(lists.select(F.col("s.shingle").alias("token"), "digest", "n"), "prefixes")
+
+
+def across(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of points of one list that lie in different components.
 
     Components that meet are paired first, then their members by equi-joins, so no group
     is collected and members of one component never meet.
     """
-    parted = materialize(shared.join(roots, "digest", "left").select("token", F.coalesce("root", "digest").alias("root"), "digest", "n"), "parted")
+    parted = materialize(lists.join(roots, "digest", "left").select("token", F.coalesce("root", "digest").alias("root"), "digest", "n"), "parted")
     inside = parted.select("token", "root").distinct()
     several = inside.groupBy("token").count().where(F.col("count") > 1).select("token")
     inside = materialize(inside.join(several, "token"), "inside")
@@ -213,8 +238,9 @@ def links(texts: Texts) -> DataFrame:
     """Pairs (u, v) of digests that connect all sets of the similarity."""
     shared = buckets(texts.points)
     found = texts.similar(with_chosen(shared).unionByName(simhash_pairs(texts.points)))
-    roots = components(found).toDF("digest", "root")
-    return found.unionByName(texts.similar(across(shared, roots)))
+    roots = materialize(components(found).toDF("digest", "root"), "roots")
+    lists = prefix_lists(texts.sets(undecided(shared, roots)).dropDuplicates(["digest"]))
+    return found.unionByName(texts.similar(across(lists, roots)))
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

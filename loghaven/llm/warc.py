@@ -40,7 +40,7 @@ from loghaven.llm.common import BitmapFilter, batch_of, materialize, rows_of, sc
 LEAST_BYTES = 100
 SEGMENT_CHARS = 1 << 16
 CHUNK_CHARS = 1 << 13
-RECORDS_PER_FILE = 10_000
+RECORDS_PER_FILE = 1_000
 _END = b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
