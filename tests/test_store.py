@@ -77,6 +77,19 @@ def test_parts_and_straddling_generations(spark, w):
     assert {g.part for g in w.states.read().blocks} == {0}
 
 
+def test_versions_are_never_overwritten(spark, w):
+    write(w, spark, 1, 1)
+    before = w.states.read()
+    write(w, spark, 2, 2)
+    with pytest.raises(WriterBusy):
+        w.states.commit(before)
+    folder = f"{w.states.root}/_state"
+    open(f"{folder}/v{w.states.read().version + 1:08d}.json", "w").close()  # a writer that ended while writing
+    assert w.coverage == Coverage(1, 2)
+    write(w, spark, 3, 3)
+    assert w.coverage == Coverage(1, 3)
+
+
 def test_merges_rewrite_little(spark, tmp_path, monkeypatch):
     """Rows rewritten per block stay logarithmic while a part fills."""
     w = Warehouse(spark, str(tmp_path), compact_after=16)
