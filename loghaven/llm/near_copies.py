@@ -10,9 +10,11 @@ Candidates come from two indexes and are then verified on the whole sets, in who
 
 Documents of one set are one point, named by a 64-bit digest, so copies never form pairs.
 A bucket of a band is read in two rounds, since a group of k near copies has k * k pairs.
-Round one compares each point with two chosen points of its bucket. Round two compares,
-in each bucket, all pairs that round one did not bring into one component. The links are
-joined to components. All groups are aggregated before the shuffle or split by equi-joins.
+Round one compares each point with the hub of its bucket. Round two compares the points
+that round one did not bring into one component, where their differences from the hub
+share rare shingles (see ``across``): what all members of a family have in common brings
+no two of them together, and no similar pair is lost. The links are joined to components.
+All groups are aggregated before the shuffle or split by equi-joins.
 
 Only a sketch of each document is kept; the sets of the documents that are asked for are
 computed again from their texts, so no shingles of the others are written or shuffled.
@@ -177,44 +179,66 @@ def buckets(points: DataFrame) -> DataFrame:
     return materialize(rows.join(sizes, "token"), "buckets")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (u, v) of rows (u, n, v, m) whose sizes allow the similarity."""
-    n, m = F.col("n").cast("long"), F.col("m").cast("long")
-    return rows.where((F.col("u") != F.col("v")) & (WHOLE * F.least(n, m) >= PART * F.greatest(n, m))).select("u", "v")
-
+def deltas(texts: Texts, shared: DataFrame) -> DataFrame:
+    """(hub, u, n, m, d): each point beside the hub of its bucket, and the shingles that only one of the two has.
 
-def with_chosen(shared: DataFrame) -> DataFrame:
-    """Pairs of each point with two of its bucket: the one that most others meet, and the smallest.
-
-    The first is near the middle of a family of copies, so one comparison links a member.
+    The hub is the point that most others meet, near the middle of a family of copies, so
+    the buckets of a family share it and a member stands in few groups.
     """
     score = shared.groupBy("digest").agg(F.sum("size").alias("score"))
-    chosen = shared.join(score, "digest").groupBy("token").agg(F.max(F.struct("score", "digest", "n")).alias("a"), F.min(F.struct("n", "digest")).alias("b"))
-    chosen = materialize(chosen.select("token", F.explode(F.array(F.struct("a.digest", "a.n"), F.struct("b.digest", "b.n"))).alias("c")), "chosen")
-    return _pairs(shared.join(chosen, "token").select(F.col("digest").alias("u"), "n", F.col("c.digest").alias("v"), F.col("c.n").alias("m")))
-
-
-def across(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of points of one bucket that lie in different components.
-
-    Components that meet are paired first, then their members by equi-joins, so no group
-    is collected and members of one component never meet.
+    hubs = shared.join(score, "digest").groupBy("token").agg(F.max(F.struct("score", "digest", "n")).alias("hub"))
+    groups = shared.join(hubs, "token").select(F.col("hub.digest").alias("hub"), F.col("digest").alias("u"), "n", F.col("hub.n").alias("m"))
+    groups = materialize(groups.where(F.col("hub") != F.col("u")).distinct(), "groups")
+    sets = texts.sets(groups.select(F.explode(F.array("hub", "u")).alias("digest")).distinct())
+    # a set may come more than once, from copies of its text
+    theirs = sets.join(groups.select(F.col("hub").alias("digest")).distinct(), "digest", "left_semi")
+    s, t = (x.groupBy("digest").agg(F.first("shingles")) for x in (sets, theirs))
+    sides = groups.join(s.toDF("u", "s"), "u").join(t.toDF("hub", "t"), "hub")
+    return materialize(sides.select("hub", "u", "n", "m", F.concat(F.array_except("s", "t"), F.array_except("t", "s")).alias("d")), "deltas")
+
+
+def across(delta: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of one group that may be similar and lie in different components.
+
+    Two sets differ in as many shingles as their deltas to the hub, at most a ninth of
+    both sizes; a member apart from the hub's component differs from the hub in more. So
+    two members, one of them apart, share over half of either delta, corrected for their
+    sizes, and meet in the rarest shingles of it: ``short`` of them, of a member apart
+    ``long`` if the other one is not apart. What a family has in common is in no delta, so
+    members that went different ways do not meet, however large the family is.
     """
-    parted = materialize(shared.join(roots, "digest", "left").select("token", F.coalesce("root", "digest").alias("root"), "digest", "n"), "parted")
-    inside = parted.select("token", "root").distinct()
-    several = inside.groupBy("token").count().where(F.col("count") > 1).select("token")
-    inside = materialize(inside.join(several, "token"), "inside")
-    meet = inside.join(inside.toDF("token", "other"), "token").where(F.col("root") < F.col("other"))
-    left = meet.join(parted, ["token", "root"]).select("token", "other", F.col("digest").alias("u"), "n")
-    return _pairs(left.join(parted.toDF("token", "other", "v", "m"), ["token", "other"]))
+    ninth = F.floor((F.col("n") + F.floor(F.col("n") * F.lit(WHOLE) / F.lit(PART))) / F.lit(PART + WHOLE))
+    rooted = delta.join(roots.toDF("u", "root"), "u", "left").join(roots.toDF("hub", "middle"), "hub", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "u")).withColumn("apart", F.col("root") != F.coalesce("middle", "hub"))
+    several = rooted.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.max("apart").alias("any")).where(F.col("any") & (F.col("members") > 1)).select("hub")
+    held = materialize(rooted.join(several, "hub").select("hub", "u", "n", "m", "d", "root", "apart"), "apart")
+    tokens = held.select("hub", "u", F.explode("d").alias("x"))
+    often = tokens.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
+    # a shingle of one delta alone joins nothing, but keeps its place at the front
+    ranked = tokens.join(often, ["hub", "x"]).groupBy("hub", "u").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("ranked"))
+    size = F.size("d")
+    least = F.floor(((PART + WHOLE) * size + F.col("m") - F.col("n")) / F.lit(2 * (PART + WHOLE))) + 1
+    rows = held.join(ranked, ["hub", "u"]).select("hub", "u", "n", "root", "apart", size.alias("size"), (size - least + 1).alias("short"), (ninth + 1).alias("long"), (size - F.size("ranked")).alias("alone"), F.posexplode("ranked").alias("at", "r"))
+    placed = rows.select("hub", F.col("r.x").alias("x"), "u", "n", "root", "apart", "size", "short", "long", (F.col("at") + F.col("alone") + 1).alias("at"))
+    placed = materialize(placed.where(F.col("at") <= F.when(F.col("apart"), F.greatest("short", "long")).otherwise(F.col("short"))), "placed")
+    left = placed.where("apart")
+    right = placed.where(F.col("at") <= F.col("short")).toDF("hub", "x", "v", "m", "other", "also", "vsize", "vshort", "vlong", "vat")
+    once = F.when(F.col("also"), (F.col("at") <= F.col("short")) & (F.col("u") < F.col("v"))).otherwise(F.col("at") <= F.col("long"))
+    n, m = F.col("n").cast("long"), F.col("m").cast("long")
+    sized = WHOLE * F.least(n, m) >= PART * F.greatest(n, m)
+    # the first shingle that both deltas hold leaves room for all that they must share
+    room = 2 * (1 + F.least(F.col("size") - F.col("at"), F.col("vsize") - F.col("vat"))) >= F.col("size") + F.col("vsize") - F.floor((n + m) / F.lit(PART + WHOLE))
+    rows = left.alias("l").join(right.alias("r"), (F.col("l.hub") == F.col("r.hub")) & (F.col("l.x") == F.col("r.x")) & (F.col("root") != F.col("other")) & once & sized & room)
+    return rows.select("u", "v")
 
 
 def links(texts: Texts) -> DataFrame:
     """Pairs (u, v) of digests that connect all sets of the similarity."""
-    shared = buckets(texts.points)
-    found = texts.similar(with_chosen(shared).unionByName(simhash_pairs(texts.points)))
-    roots = components(found).toDF("digest", "root")
-    return found.unionByName(texts.similar(across(shared, roots)))
+    delta = deltas(texts, buckets(texts.points))
+    to_hub = delta.where((PART + WHOLE) * F.size("d") <= F.col("n") + F.col("m")).select("u", F.col("hub").alias("v"))
+    found = to_hub.unionByName(texts.similar(simhash_pairs(texts.points)))
+    roots = materialize(components(found).toDF("digest", "root"), "roots")
+    return found.unionByName(texts.similar(across(delta, roots)))
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -79,3 +79,21 @@ def test_one_id_on_two_texts(spark):
     rows = [(1, base), (2, edited(rng, base, 1)), (2, other)]
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([rows[0], rows[2]])
+
+
+def test_a_family_is_not_compared_all_with_all(spark, monkeypatch):
+    """Members of one base that are mostly less similar than 0.8 to it and to each other."""
+    rng = random.Random(13)
+    base = sentence(rng, 150)
+    rows = [(i, edited(rng, base, rng.choice((1, 5, 5, 6, 7)))) for i in range(160)]
+    compared = []
+    similar_pairs = near_copies.Texts.similar
+
+    def counted(self, pairs):
+        compared.append(pairs.distinct().count())
+        return similar_pairs(self, pairs)
+
+    monkeypatch.setattr(near_copies.Texts, "similar", counted)
+    found = near_copies.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in found) == Counter(plain_groups(rows))
+    assert sum(compared) < 5 * len(rows), compared
