@@ -32,11 +32,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loghaven.llm.common import BitmapFilter, batch_of, materialize, rows_of, ship_package, table
+from loghaven.llm.common import BitmapFilter, materialize, release_memory, ship_package, table
 from loghaven.llm.components import components
 
 DISTANCE = 2
@@ -73,16 +74,135 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
+#: Bytes of text that are hashed together; a longer text goes alone, by ``simhash``.
+TEXT_BYTES = 1 << 20
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: For a byte, eight counters of one byte each: its bits from the highest on.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)).view("<u8")
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _turned(acc + lane * _P2, 31) * _P1
+
+
+def _xxh64_of_size(data: np.ndarray, eights: np.ndarray, fours: np.ndarray, at: np.ndarray, size: int, seed: np.ndarray) -> np.ndarray:
+    """XXH64 of slices of one size."""
+    done = 0
+    if size >= 32:
+        acc = [np.broadcast_to(x, at.shape) for x in (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)]
+        for done in range(0, size - 31, 32):
+            acc = [_round(x, eights[at + (done + 8 * lane)]) for lane, x in enumerate(acc)]
+        done += 32
+        h = _turned(acc[0], 1) + _turned(acc[1], 7) + _turned(acc[2], 12) + _turned(acc[3], 18)
+        for x in acc:
+            h = (h ^ _turned(x * _P2, 31) * _P1) * _P1 + _P4
+    else:
+        h = np.broadcast_to(seed + _P5, at.shape)
+    h = h + np.uint64(size)
+    while size - done >= 8:
+        h = _turned(h ^ _turned(eights[at + done] * _P2, 31) * _P1, 27) * _P1 + _P4
+        done += 8
+    if size - done >= 4:
+        h = _turned(h ^ fours[at + done].astype(np.uint64) * _P1, 23) * _P2 + _P3
+        done += 4
+    while done < size:
+        h = _turned(h ^ data[at + done].astype(np.uint64) * _P5, 11) * _P1
+        done += 1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of many slices of ``data``, which has eight bytes more than the slices need."""
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    fours = np.ndarray((len(data) - 3,), "<u4", data, strides=(1,))
+    order = np.argsort(sizes.astype(np.uint16) if sizes.max() < 1 << 16 else sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+    found = np.empty(len(sizes), np.uint64)
+    raw, word = memoryview(data), np.array([seed], np.uint64)
+    for a, b in zip(cuts, cuts[1:]):
+        size = int(sizes[a])
+        if b - a < 64:
+            found[a:b] = [xxhash.xxh64_intdigest(raw[x : x + size], seed) for x in starts[a:b].tolist()]
+        else:
+            found[a:b] = _xxh64_of_size(data, eights, fours, starts[a:b], size, word)
+    out = np.empty_like(found)
+    out[order] = found
+    return out
+
+
+def _ones(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often each bit, the highest first, is set in the runs of hashes that begin at ``first``."""
+    ends = np.append(first[1:], len(hashes))
+    steps = (ends - first + 254) // 255  # a counter of one byte holds 255
+    run = np.repeat(np.arange(len(first)), steps)
+    at = first[run] + 255 * (np.arange(len(run)) - np.repeat(np.cumsum(steps) - steps, steps))
+    octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    out = np.empty((len(first), 64), np.int64)
+    for k in range(8):
+        counts = np.add.reduceat(_LANES[octets[:, k]], at).view(np.uint8).reshape(-1, 8)
+        out[:, 8 * k : 8 * k + 8] = np.add.reduceat(counts, np.cumsum(steps) - steps, axis=0, dtype=np.int64)
+    return out
+
+
+def simhashes(data: np.ndarray, bounds: np.ndarray, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The values of ``simhash`` for the texts data[bounds[i]:bounds[i + 1]], all at once."""
+    found = np.zeros(len(bounds) - 1, np.uint64)
+    data = data[bounds[0] : bounds[-1]]
+    bounds = (bounds - bounds[0]).astype(np.int64)
+    inside = (data != 32) & (data - np.uint8(9) > 4)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    past = np.zeros(len(data) + 1, bool)  # whether the byte before is one of a word
+    past[1:] = inside
+    begins = np.flatnonzero(inside & (edge[:-1] | ~past[:-1]))
+    if not len(begins):
+        return found
+    ends = np.flatnonzero(past[1:] & (edge[1:] | ~np.append(inside[1:], False))) + 1
+    # lower case, and of the white space between words one space
+    plain = np.where(inside, data + (data - np.uint8(65) < 26).view(np.uint8) * np.uint8(32), np.uint8(32))
+    plain = np.concatenate((plain[inside | past[:-1]], np.zeros(8, np.uint8)))
+    sizes = ends - begins
+    gaps = np.minimum(begins[1:] - ends[:-1], 1)
+    starts = np.concatenate(([0], np.cumsum(sizes[:-1] + gaps)))
+    stops = starts + sizes
+    words = np.searchsorted(begins, bounds)
+    counts = np.diff(words)
+    texts = np.flatnonzero(counts)
+    counts, words = counts[texts], words[texts]
+    shingles = np.maximum(counts - (shingle - 1), 1)
+    first = np.cumsum(shingles) - shingles
+    lead = np.arange(int(shingles.sum())) + np.repeat(words - first, shingles)
+    last = lead + np.repeat(np.minimum(counts, shingle) - 1, shingles)
+    hashes = xxh64(plain, starts[lead], stops[last] - starts[lead], seed)
+    bits = 2 * _ones(hashes, first) > shingles[:, None]
+    found[texts] = np.packbits(bits, axis=1).view(">u8").ravel()
+    return found
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple] = []
-    for doc_id, text in rows_of(batches, "doc_id", "text"):
-        value = simhash(text)
-        out.append((doc_id, value - (1 << 64) if value >> 63 else value))
-        if len(out) >= 10_000:
-            yield batch_of(_PRINTS, out)
-            out = []
-    if out:
-        yield batch_of(_PRINTS, out)
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1), "")
+        texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        fps = np.zeros(len(texts), np.uint64)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + TEXT_BYTES, "right")) - 1)
+            if bounds[to] - bounds[at] > TEXT_BYTES:
+                fps[at] = simhash(texts[at].as_py())
+            else:
+                fps[at:to] = simhashes(data, bounds[at : to + 1])
+            at = to
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=_PRINTS)
+    release_memory()
 
 
 def _bits(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -94,14 +214,14 @@ def _split(points: np.ndarray, distance: int) -> tuple[np.uint64, int] | None:
     best = None
     for vantage in points[:: max(1, len(points) // 8)][:8]:
         counts = np.bincount(_bits(points, vantage), minlength=65)
-        below = np.cumsum(counts)
-        for radius in range(64):
-            inner, crossing = int(below[radius]), int(counts[max(0, radius + 1 - distance) : radius + 1].sum())
-            smaller = min(inner, len(points) - inner)
-            if smaller * 5 >= len(points):
-                cost = crossing / smaller
-                if best is None or cost < best[0]:
-                    best = (cost, vantage, radius)
+        below = np.cumsum(counts)[:64]
+        # points just inside each radius, which a visit would cross
+        crossing = below - np.concatenate((np.zeros(distance, np.int64), below))[:64]
+        smaller = np.minimum(below, len(points) - below)
+        cost = np.where(smaller * 5 >= len(points), crossing / np.maximum(smaller, 1), np.inf)
+        radius = int(cost.argmin())
+        if cost[radius] < np.inf and (best is None or cost[radius] < best[0]):
+            best = (cost[radius], vantage, radius)
     return best and (best[1], best[2])
 
 
