@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import xxhash
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^"'>]|"[^"]*+"|'[^']*+')*+(?=>|\Z)|[^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
@@ -36,11 +37,25 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 
 ARTICLE, MAIN, CONTENT, PLAIN, OTHER = 4, 3, 2, 1, 0
 
+#: Kinds of structured blocks: boilerplate by its mark-up, a line of a page that marks no
+#: article region, a line of the article region, a line outside it.
+BOILERPLATE, LINE, INSIDE, OUTSIDE = 0, 1, 2, 3
+
 
 class Block(NamedTuple):
     text: str
     #: The strongest region it stands in; OTHER if anything around it is not article.
     region: int
+    #: Name and marks of the outermost element that makes it OTHER.
+    slot: str = ""
+
+
+class Piece(NamedTuple):
+    """A structured block: one block of text, or all that a menu, an advert or the like holds."""
+
+    #: A digest in all bits but the last two, which hold the kind.
+    key: int
+    texts: list[str]
 
 
 def _region(name: str, attrs: str, above: int) -> int:
@@ -68,16 +83,22 @@ def _region(name: str, attrs: str, above: int) -> int:
     return max(found, MAIN) if name == "main" else found
 
 
+def _slot(name: str, attrs: str) -> str:
+    """What tells an element from others of its name on every page of a site: its marks without numbers."""
+    marks = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)]
+    return " ".join([name, *sorted({w for key, value in marks if key in ("class", "id", "role") for w in _WORD.findall(value.lower())})])
+
+
 def blocks(page: str) -> Iterator[Block]:
     """Blocks of a page in order: references decoded, white space joined, empty ones left out."""
-    stack: list[tuple[str, int]] = []
-    region, parts, at = PLAIN, [], 0
+    stack: list[tuple[str, int, str]] = []
+    region, slot, parts, at = PLAIN, "", [], 0
 
     def close() -> Iterator[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            yield Block(text, region)
+            yield Block(text, region, slot)
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -96,11 +117,11 @@ def blocks(page: str) -> Iterator[Block]:
         if m["end"]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None:
-                after = stack[depth - 1][1] if depth else PLAIN
-                if after != region:
+                after = stack[depth - 1][1:] if depth else (PLAIN, "")
+                if after != (region, slot):
                     yield from close()
                 del stack[depth:]
-                region = after
+                region, slot = after
             continue
         if name in _RAW:
             stop = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
@@ -110,7 +131,7 @@ def blocks(page: str) -> Iterator[Block]:
         shut, bound = ({"p"}, {"table", "article", "section", "div", "li", "td"}) if name in _BLOCK and name not in _CLOSES else _CLOSES.get(name, ((), ()))
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in shut:
-                region = stack[i - 1][1] if i else PLAIN
+                region, slot = stack[i - 1][1:] if i else (PLAIN, "")
                 del stack[i:]
                 break
             if stack[i][0] in bound:
@@ -120,7 +141,8 @@ def blocks(page: str) -> Iterator[Block]:
         inside = _region(name, m["attrs"], region)
         if inside != region:
             yield from close()
-        stack.append((name, inside))
+            slot = _slot(name, m["attrs"]) if inside == OTHER else ""
+        stack.append((name, inside, slot))
         region = inside
     yield from close()
 
@@ -150,12 +172,11 @@ def shared_lines(mine: list, other: list) -> set[int]:
     todo = [([i for i, x in enumerate(mine) if x in common], [x for x in other if x in common])]
     while todo:
         a, b = todo.pop()
-        while a and b and mine[a[0]] == b[0]:
-            found.add(a[0])
-            a, b = a[1:], b[1:]
-        while a and b and mine[a[-1]] == b[-1]:
-            found.add(a[-1])
-            a, b = a[:-1], b[:-1]
+        most = min(len(a), len(b))
+        head = next((i for i in range(most) if mine[a[i]] != b[i]), most)
+        tail = next((i for i in range(most - head) if mine[a[-1 - i]] != b[-1 - i]), most - head)
+        found.update(a[:head], a[len(a) - tail :])
+        a, b = a[head : len(a) - tail], b[head : len(b) - tail]
         if not a or not b:
             continue
         if len(a) == 1:
@@ -175,12 +196,55 @@ def article_lines(page: list[Block]) -> tuple[list[str], bool]:
     return [b.text for b in page if b.region == best and best != OTHER], best == PLAIN
 
 
-def template_lines(mine: list, neighbour: list | None) -> set[int]:
-    """Indexes of lines that a page without article region shares with its neighbour.
+def _digest(text: str) -> int:
+    return (xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) & -4) - (1 << 63)
+
+
+def pieces(page: list[Block]) -> list[Piece]:
+    """Structured blocks of a page.
 
-    None if the two hold the same lines, or if nothing would be left: that tells nothing.
+    The words of a menu or an advert change from page to page, so it is known by its slot;
+    blocks of one slot that follow each other are one piece, however many they are. Other
+    blocks are known by their text.
+    """
+    best = max((b.region for b in page), default=OTHER)
+    out: list[Piece] = []
+    for b in page:
+        if b.region == OTHER:
+            key = _digest("\n" + b.slot) | BOILERPLATE  # no block holds a line feed
+            if out and out[-1].key == key:
+                out[-1].texts.append(b.text)
+                continue
+        else:
+            key = _digest(b.text) | (LINE if best == PLAIN else INSIDE if b.region == best else OUTSIDE)
+        out.append(Piece(key, [b.text]))
+    return out
+
+
+def template_pieces(mine: list[int], near: list[int]) -> set[int]:
+    """Indexes of the keys that a page shares with its nearest page: aligned ones, and boilerplate in another place."""
+    ids = [k >> 2 for k in near]
+    held = set(ids)
+    return shared_lines([k >> 2 for k in mine], ids) | {i for i, k in enumerate(mine) if k & 3 == BOILERPLATE and k >> 2 in held}
+
+
+def deleted_pieces(mine: list[int], near: list[int] | None) -> set[int]:
+    """Indexes of the pieces that a page loses, by its keys and those of its nearest page.
+
+    What the two share is template and goes. A check by mark-up follows:
+
+    * lines inside a marked article region come back, since articles share lines too;
+    * lines outside it go;
+    * boilerplate that the nearest page has no slot for never repeats there, so the mark-up
+      alone tells it, and it goes;
+    * the lines of a page that marks no region come back if all of them are shared: that
+      tells nothing.
     """
-    if not neighbour or mine == neighbour:
-        return set()
-    shared = shared_lines(mine, neighbour)
-    return shared if len(shared) < len(mine) else set()
+    shared = template_pieces(mine, near) if near is not None else set()
+    known = {k >> 2 for k in near or ()}
+    back = {i for i in shared if mine[i] & 3 == INSIDE}
+    lines = {i for i, k in enumerate(mine) if k & 3 == LINE}
+    if lines <= shared:
+        back |= lines
+    alone = {i for i, k in enumerate(mine) if k & 3 == OUTSIDE or k & 3 == BOILERPLATE and k >> 2 not in known}
+    return shared - back | alone

@@ -2,22 +2,26 @@
 
 Pages are put in order by (host, path), so the pages nearest to one by path on its host
 are its neighbours in the order; the nearer one (longer common path) is its pair. Both
-are read as blocks of text, the blocks are aligned by longest common subsequence, and
-shared blocks are deleted.
-
-Differencing alone cannot give the article: it deletes lines that two articles share
-(copied pages, common first lines) and keeps menus that differ from page to page. So
-the markup speaks first: what stands in menus, footers, adverts, forms, comments and the
-like goes, what stands in an article region stays, and differencing decides every page
-that marks no such region (see ``html_blocks``).
-
-Only digests of lines are sorted and compared; texts stay where they are. Pages of equal
-lines on a host are one entry, under the least of their paths, and get one result, however
-many copies there are. Entries are dealt by ranges of (host, path, lines): a host that
-holds a third of all pages spreads over many tasks, and a task streams through its rows
-with three entries in hand. The rows at the edges of tasks, two on each side, are paired
-in a second small step. The numbers of deleted lines come back by joins to the pages that
-lose any; a bitmap of bounded size keeps all others out of the shuffle.
+are read as structured blocks, the blocks are aligned by longest common subsequence, and
+shared blocks are deleted. That is done for every page that has another one on its host.
+
+A block of text is known by its text; a menu, an advert or a footer, whose words change
+from page to page, by the marks of its element, so differencing finds and deletes it where
+the pair has the same element. Differencing alone cannot give the article: it deletes
+lines that two articles share (copied pages, common first lines) and keeps an advert that
+the pair has not. So a check by mark-up follows (see ``html_blocks.deleted_pieces``):
+lines of a marked article region come back, lines outside it and boilerplate that the pair
+lacks go. A page alone on its host, or with no line of text beside boilerplate, has no
+pair; there the check is all.
+
+Only digests of blocks are sorted and compared; texts stay where they are. Pages of equal
+lines on a host are one entry, under the least of their paths, so that copies are compared
+with a page that differs; its variants (other menus around the same lines) each get their
+own result. Entries are dealt by ranges of (host, path, lines): a host that holds a third
+of all pages spreads over many tasks, and a task streams through its rows with three
+entries in hand. The rows at the edges of tasks, two on each side, are paired in a second
+small step. The numbers of deleted blocks come back to the pages by joins, where a page is
+a compressed text.
 
 Defined results: a null html gives an empty text and 0 characters; a null URL has an
 empty host and path; repeated rows get equal texts; pages of equal lines tell nothing
@@ -29,33 +33,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loghaven.llm.common import BitmapFilter, batch_of, materialize, rows_of, ship_package, table
-from loghaven.llm.html_blocks import OTHER, article_lines, blocks, template_lines
+from loghaven.llm.common import batch_of, materialize, rows_of, ship_package, table
+from loghaven.llm.html_blocks import BOILERPLATE, blocks, deleted_pieces, pieces
 from loghaven.llm.url_rules import host_of, path_of
 
 #: Rows of digests that a task should sweep.
 SWEEP_ROWS = 200_000
 
-_LINES = pa.schema([("k_id", pa.int64()), ("k_page", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("plain", pa.bool_()), ("lines", pa.list_(pa.int64()))])
-_LINES_DDL = "k_id long, k_page long, host string, path string, plain boolean, lines array<long>"
-_NAMES = ["host", "path", "same", "plain", "lines"]
-_ENTRY = [pa.field("host", pa.string()), pa.field("path", pa.string()), pa.field("same", pa.int64()), pa.field("plain", pa.bool_()), pa.field("lines", pa.list_(pa.int64()))]
-_OUT = pa.schema([pa.field("part", pa.int32()), pa.field("place", pa.int32()), *_ENTRY, pa.field("gone", pa.list_(pa.int32()))])
-_OUT_DDL = "part int, place int, host string, path string, same long, plain boolean, lines array<long>, gone array<int>"
+_LINES = pa.schema([("k_id", pa.int64()), ("k_page", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("keys", pa.list_(pa.int64()))])
+_LINES_DDL = "k_id long, k_page long, host string, path string, keys array<long>"
+_NAMES = ["host", "path", "same", "variants"]
+_VARIANTS = pa.list_(pa.struct([pa.field("variant", pa.int64()), pa.field("keys", pa.list_(pa.int64()))]))
+_ENTRY = [pa.field("host", pa.string()), pa.field("path", pa.string()), pa.field("same", pa.int64()), pa.field("variants", _VARIANTS)]
+_OUT = pa.schema([pa.field("part", pa.int32()), pa.field("place", pa.int32()), *_ENTRY, pa.field("variant", pa.int64()), pa.field("gone", pa.list_(pa.int32()))])
+_OUT_DDL = "part int, place int, host string, path string, same long, variants array<struct<variant: long, keys: array<long>>>, variant long, gone array<int>"
 _NULL_ID = -(1 << 63)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = []
     for k_id, k_page, host, path, html in rows_of(batches, "k_id", "k_page", "host", "path", "html"):
-        page = list(blocks(html or ""))
-        lines = [xxhash.xxh3_64_intdigest(b.text.encode("utf-8", "surrogatepass")) - (1 << 63) for b in page if b.region != OTHER]
-        out.append((k_id, k_page, host, path, article_lines(page)[1], lines))
+        out.append((k_id, k_page, host, path, [p.key for p in pieces(list(blocks(html or "")))]))
         if len(out) >= 2000:
             yield batch_of(_LINES, out)
             out = []
@@ -68,10 +70,7 @@ class _Page:
 
     def __init__(self, *row):
         self.row = row
-        self.host, self.path, self.same, self.plain, self.lines = row
-
-    def deleted(self, gone: list[int]) -> tuple:
-        return None, None, self.host, None, self.same, None, None, gone
+        self.host, self.path, self.same, self.variants = row
 
 
 def _common(a: str, b: str) -> int:
@@ -79,17 +78,17 @@ def _common(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _gone(page: _Page, before: _Page | None, after: _Page | None) -> list[int]:
-    """Numbers of the lines that a page shares with the nearer of its neighbours."""
-    if not page.plain:
-        return []
+def _gone(page: _Page, before: _Page | None, after: _Page | None) -> Iterator[tuple]:
+    """Numbers of the blocks that each variant of a page loses to the nearer of its neighbours."""
     near = [p for p in (before, after) if p is not None and p.host == page.host]
-    nearest = max(near, key=lambda p: _common(p.path, page.path), default=None)
-    return sorted(template_lines(page.lines, nearest.lines if nearest else None))
+    if near:
+        nearest = max(near, key=lambda p: _common(p.path, page.path)).variants[0]["keys"]
+        for v in page.variants:
+            yield None, None, page.host, None, page.same, None, v["variant"], sorted(deleted_pieces(v["keys"], nearest))
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deleted lines of all entries that have both neighbours here; the entries at the ends as they are.
+    """Deleted blocks of all entries that have both neighbours here; the entries at the ends as they are.
 
     ``place`` is 0 and 1 for the first two entries of the task, -2 and -1 for the last two;
     a task of two has 0 and -1, a task of one has 0.
@@ -101,38 +100,41 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in rows_of(batches, *_NAMES):
         page = _Page(*row)
         if n == 0:
-            out.append((part, 0, *page.row, None))
+            out.append((part, 0, *page.row, None, None))
         elif n == 2:
-            out.append((part, 1, *held[-1].row, None))
+            out.append((part, 1, *held[-1].row, None, None))
         held = [*held[-2:], page]
-        if n >= 2 and (gone := _gone(held[1], held[0], held[2])):
-            out.append(held[1].deleted(gone))
+        if n >= 2:
+            out += _gone(held[1], held[0], held[2])
         n += 1
         if len(out) >= 2000:
             yield batch_of(_OUT, out)
             out = []
     if n > 2:
-        out.append((part, -2, *held[-2].row, None))
+        out.append((part, -2, *held[-2].row, None, None))
     if n > 1:
-        out.append((part, -1, *held[-1].row, None))
+        out.append((part, -1, *held[-1].row, None, None))
     if out:
         yield batch_of(_OUT, out)
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deleted lines of entries with their neighbours: seat 0 before, 1 the entry, 2 after."""
+    """Deleted blocks of entries with their neighbours: seat 0 before, 1 the entry, 2 after."""
     for (pages,) in rows_of(batches, "pages"):
         held = {p["seat"]: _Page(*(p[c] for c in _NAMES)) for p in pages}
-        if gone := _gone(held[1], held.get(0), held.get(2)):
-            yield batch_of(_OUT, [held[1].deleted(gone)])
+        if gone := list(_gone(held[1], held.get(0), held.get(2))):
+            yield batch_of(_OUT, gone)
 
 
 def deleted_lines(rows: DataFrame) -> DataFrame:
-    """(k_id, k_page, gone): numbers of the lines that pages lose to their pair; only pages that lose any."""
+    """(k_id, k_page, gone): numbers of the structured blocks that pages lose; only pages that have a pair."""
     spark = rows.sparkSession
-    read = materialize(rows.mapInArrow(_read, _LINES_DDL), "lines").where(F.size("lines") > 0)
-    lines = read.withColumn("same", F.xxhash64("lines"))
-    once = lines.groupBy("host", "same").agg(F.min("path").alias("path"), F.max("plain").alias("plain"), F.first("lines").alias("lines"))
+    read = materialize(rows.mapInArrow(_read, _LINES_DDL), "lines")
+    # lines tell pages apart, menus and the like do not
+    texts = F.transform(F.filter("keys", lambda k: k.bitwiseAND(F.lit(3)) != BOILERPLATE), lambda k: F.shiftright(k, 2))
+    lines = read.where(F.exists("keys", lambda k: k.bitwiseAND(F.lit(3)) != BOILERPLATE)).withColumns({"same": F.xxhash64(texts), "variant": F.xxhash64("keys")})
+    variants = F.transform(F.sort_array(F.collect_set("keys")), lambda k: F.struct(F.xxhash64(k).alias("variant"), k.alias("keys")))
+    once = lines.groupBy("host", "same").agg(F.min("path").alias("path"), variants.alias("variants"))
     entries = materialize(once.select(*_NAMES), "entries")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, entries.count() // SWEEP_ROWS)
     order = ["host", "path", "same"]
@@ -152,18 +154,24 @@ def deleted_lines(rows: DataFrame) -> DataFrame:
     grouped = around.groupBy("boundary").agg(F.collect_list(F.struct("seat", *_NAMES)).alias("pages"))
     edges = grouped.select("pages").mapInArrow(_edges, _OUT_DDL)
     both = done.where(F.col("gone").isNotNull()).unionByName(edges)
-    deleted = materialize(both.select("host", "same", "gone"), "entries-deleted")
-    losing = lines.where("plain").select("k_id", "k_page", "host", "same").join(deleted, ["host", "same"])
-    # repeated rows share a key: the same lines go in each
-    return materialize(losing.groupBy("k_id", "k_page").agg(F.max("gone").alias("gone")), "deleted")
+    deleted = materialize(both.select("host", "same", "variant", "gone"), "entries-deleted")
+    paired = lines.select("k_id", "k_page", "host", "same", "variant").join(deleted, ["host", "same", "variant"])
+    # repeated rows share a key: the same blocks go in each
+    return materialize(paired.groupBy("k_id", "k_page").agg(F.max("gone").alias("gone")), "deleted")
+
+
+def _pack(pages: pa.Array) -> pa.Array:
+    return pa.array([len(data := x.as_py().encode("utf-8", "surrogatepass")).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True) for x in pages], pa.binary())
 
 
-def _article(pages: pa.Array, gone: pa.Array) -> pa.Array:
+def _article(packed: pa.Array, gone: pa.Array) -> pa.Array:
     out = []
-    for html, numbers in zip(pages, gone, strict=True):
-        lines, _ = article_lines(list(blocks(html.as_py())))
-        drop = set(numbers.as_py())
-        out.append("\n".join(x for i, x in enumerate(lines) if i not in drop))
+    for data, numbers in zip(packed, gone, strict=True):
+        held = data.as_py()
+        html = pa.decompress(held[8:], int.from_bytes(held[:8], "little"), "zstd", asbytes=True).decode("utf-8", "surrogatepass")
+        page = pieces(list(blocks(html)))
+        drop = set(numbers.as_py()) if numbers.is_valid else deleted_pieces([p.key for p in page], None)
+        out.append("\n".join(x for i, p in enumerate(page) if i not in drop for x in p.texts))
     return pa.array(out, pa.string())
 
 
@@ -175,13 +183,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     page_id = F.col(id_col).cast("long")
     rows = pages.select(page_id.alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(page_id, F.lit(_NULL_ID)).alias("k_id"), F.xxhash64(url, html).alias("k_page"))
     deleted = deleted_lines(rows.select("k_id", "k_page", "host", "path", "html"))
-    key = F.xxhash64("k_id", "k_page")
-    marked = BitmapFilter(deleted, key).marked(rows, key, "maybe")
-    article = F.arrow_udf(_article, "string")
-    none = F.array().cast("array<int>")
-    whole = marked.where(~F.col("maybe")).select("page_id", "url", article("html", none).alias("text"))
-    cut = marked.where("maybe").join(deleted, ["k_id", "k_page"], "left").select("page_id", "url", article("html", F.coalesce("gone", none)).alias("text"))
-    return whole.unionByName(cut).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    packed = rows.select("page_id", "url", "k_id", "k_page", F.arrow_udf(_pack, "binary")("html").alias("packed"))
+    texts = packed.join(deleted, ["k_id", "k_page"], "left").select("page_id", "url", F.arrow_udf(_article, "string")("packed", "gone").alias("text"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op4_page_diff_text(spark: SparkSession, sf_dir: str) -> DataFrame:
